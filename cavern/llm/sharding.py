@@ -3,7 +3,7 @@
 Equal texts form a group that stays together. Groups are hashed into buckets of bounded size; each bucket is
 differenced into a fixed number of parts, and the parts are groups of the next level, until one bucket is left,
 which is differenced into the shards. The number of levels follows the logarithm of the number of groups, and no
-level holds more than a bucket in one task. A group that outweighs a shard's share stays a part of its own on
+level holds more than a bucket in one task. Some groups of each bucket stay apart for the next level's use. A group that outweighs a shard's share stays a part of its own on
 every level, and the other groups fill the remaining shards.
 
 Defined cases: a null text has no bytes and is grouped with the empty text; rows that repeat a doc_id or are
@@ -24,7 +24,9 @@ from .common import checkpointed, n_parts, unsigned_crc32
 #: Groups that one task differences.
 BUCKET_ITEMS = 20_000
 #: Parts that a bucket leaves to the next level.
-BUCKET_PARTS = 64
+BUCKET_PARTS = 256
+#: Groups of a bucket, over all sizes, that go to the next level as they are, to even out parts that are equal.
+BUCKET_SINGLES = 64
 #: Rows of a shard that one task numbers.
 SLOT_ROWS = 100_000
 
@@ -59,13 +61,18 @@ def karmarkar_karp(sizes: np.ndarray, n: int) -> np.ndarray:
     return np.array([slots[k][0] for k in range(len(sizes))], np.int32)
 
 
-def level(items: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """(item, size) to (item, size, parent): each bucket's items differenced into parts."""
+def level(items: DataFrame, buckets: int, parts: int, singles: int = 0) -> DataFrame:
+    """(item, size) to (item, size, parent): each bucket's items differenced into parts, but for singles kept apart."""
 
     def difference(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
-        part = karmarkar_karp(pdf["size"].to_numpy(), parts)
-        return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "parent": int(key[0]) * parts + part.astype(np.int64)})
+        apart = min(singles, len(pdf) // 8)
+        single = np.zeros(len(pdf), bool)
+        single[np.linspace(0, len(pdf) - 1, apart).astype(np.int64)] = True
+        part = np.empty(len(pdf), np.int64)
+        part[~single] = karmarkar_karp(pdf["size"].to_numpy()[~single], parts)
+        part[single] = parts + np.arange(single.sum())
+        return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "parent": int(key[0]) * (parts + singles) + part})
 
     kind = items.schema["item"].dataType.simpleString()
     return items.groupBy(F.pmod(F.xxhash64("item"), F.lit(buckets)).alias("bucket")).applyInPandas(difference, f"item {kind}, size long, parent long")
@@ -74,9 +81,10 @@ def level(items: DataFrame, buckets: int, parts: int) -> DataFrame:
 def shard_groups(groups: DataFrame, n_shards: int, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
     """(item, size) to (item, shard)."""
     rows, own = groups.count(), groups
+    parts = max(1, min(BUCKET_PARTS, bucket_items // 8))  # so that each level has at most a quarter of the items below
     levels = []
     while rows > bucket_items:
-        own = checkpointed(level(own, n_parts(rows, bucket_items // 2), BUCKET_PARTS))
+        own = checkpointed(level(own, n_parts(rows, bucket_items // 2), parts, BUCKET_SINGLES))
         levels.append(own)
         own = own.groupBy(F.col("parent").alias("item")).agg(F.sum("size").alias("size"))
         rows = own.count()
