@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, packing, ppm, sharding, simhash, toxicity
+from . import bpe, htmltext, linededup, packing, ppm, search, sharding, simhash, toxicity
 from .common import table
 
 
@@ -24,10 +24,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", F.size("removed_lines").alias("n_removed"))
@@ -41,6 +49,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,11 +60,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op3_html": op3_html,
     "op4_packing": op4_packing,
+    "op5_ann": op5_ann,
     "op6_line_dedup": op6_line_dedup,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash": op8_simhash,
+    "op9_top_k": op9_top_k,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op6_line_dedup": linededup.SQL}
+#: Operator 9 in SQL.
+TOP_K_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND q.vec_id % 50 = 0 AND len(q.e) = len(v.e)
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op6_line_dedup": linededup.SQL, "op9_top_k": TOP_K_SQL}

@@ -42,5 +42,5 @@ def test_few_or_no_labels(spark):
 def test_shared_expressions_say_nothing():
     import numpy as np
 
-    ratios = toxicity.Ratios([(["the", "oaf"], np.array([[1000.0, 100.0], [0.0, 40.0]]), np.array([10000.0, 1000.0]), 3.0), (["the", "oaf"], np.ones((2, 2)), np.full(2, 2.0), 4.0), ([], np.empty((0, 2)), np.zeros(2), 0.0)])
+    ratios = toxicity.Ratios([(["the", "oaf"], np.array([[1000.0, 100.0], [0.0, 40.0]]), np.array([10000.0, 1000.0]), 3000.0), (["the", "oaf"], np.ones((2, 2)), np.full(2, 2.0), 4.0), ([], np.empty((0, 2)), np.zeros(2), 0.0)])
     assert ratios.one("the") == 0 and ratios.one("unknown") == 0 and ratios.one("oaf") > 2
