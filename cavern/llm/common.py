@@ -20,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the folder that all executors share, so that lost executors cost no lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests), a local one is.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share; only where none is set (tests), a local one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/cavern-checkpoints")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cavern-checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that all executors share, so that lost executors cost no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, texts
@@ -221,3 +221,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) ->
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every document."""
     found = component_ids(checkpointed(fingerprints(docs, shingle_words)), radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 4, radius: int = 4) -> DataFrame:
+    """docs' rows and columns, but of each component only the document of the least doc_id (nulls last), and of rows
+    that repeat its id and text only one."""
+    key = F.xxhash64("doc_id", "text")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), key.alias("key")).alias("doc_id")
+    found = component_ids(checkpointed(fingerprints(docs.select(order, "text"), shingle_words)), radius)
+    kept = found.where("doc_id = component_id").select(F.col("component_id.key").alias("__key")).distinct()
+    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
+    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__nth = 1").select(*docs.columns)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_fold, slices, texts
 
@@ -116,12 +117,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 
 def ratio_batches(batches: Iterator[pa.RecordBatch], ratios: Ratios, extra: list[str]) -> Iterator[pa.RecordBatch]:
-    """The columns named, with each text's `ratio` and number of `expressions`."""
+    """The columns named, with each text's `__ratio` and number of `__expressions`."""
     for whole in batches:
         for batch in slices(whole, "text"):
             found = [expressions(t) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in extra), pa.array([ratios(x) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())], names=[*extra, "ratio", "expressions"]
+                [*(batch.column(c) for c in extra), pa.array([ratios(x) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())], names=[*extra, "__ratio", "__expressions"]
             )
 
 
@@ -148,27 +149,38 @@ def learn(counts: DataFrame) -> Ratios:
     return Ratios(levels)
 
 
-def score(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> DataFrame:
-    """docs' columns but the text's, with held_out, score and predicted; labelled texts come from train_docs, or docs."""
+def _scored(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, max_toxic: int, max_ordinary: int) -> DataFrame:
+    """docs with the column `__score`; labelled texts come from train_docs."""
     spark: SparkSession = docs.sparkSession
     chosen = sample(labels, max_toxic, max_ordinary)
-    rows = (train_docs if train_docs is not None else docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    to_count, to_fit = rows.where(id_fold(F.col("doc_id")) != FIT_FOLD).select("text", "toxic"), rows.where(id_fold(F.col("doc_id")) == FIT_FOLD).select("text", "toxic")
-    models = learn(to_count.mapInArrow(count_batches, "word string, n0 long, n1 long"))
-    shared = spark.sparkContext.broadcast(models)
-    fit = to_fit.mapInArrow(lambda it: ratio_batches(it, shared.value, ["toxic"]), "toxic int, ratio double, expressions long").toPandas()
+    rows = train_docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    to_fit = id_fold(F.col("doc_id")) == FIT_FOLD
+    ratios = learn(rows.where(~to_fit).select("text", "toxic").mapInArrow(count_batches, "word string, n0 long, n1 long"))
+    shared = spark.sparkContext.broadcast(ratios)
+    fit = rows.where(to_fit).select("text", "toxic").mapInArrow(lambda it: ratio_batches(it, shared.value, ["toxic"]), "toxic int, __ratio double, __expressions long").toPandas()
     y = fit["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
-        weights = fit_logistic(features(fit["ratio"].to_numpy(), fit["expressions"].to_numpy()), y)
+        weights = fit_logistic(features(fit["__ratio"].to_numpy(), fit["__expressions"].to_numpy()), y)
     else:
-        share = chosen.agg(F.avg("toxic")).first()[0] or 0.0
-        share = min(max(share, 1e-6), 1 - 1e-6)
+        share = min(max(chosen.agg(F.avg("toxic")).first()[0] or 0.0, 1e-6), 1 - 1e-6)
         weights = np.array([0.0, 0.0, np.log(share / (1 - share))])
-    own = [f for f in docs.schema.fields if f.name == "doc_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", ratio double, expressions long"
-    found = docs.select("doc_id", "text").mapInArrow(lambda it: ratio_batches(it, shared.value, ["doc_id"]), schema)
-    n = F.greatest(F.col("expressions"), F.lit(1))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__ratio", T.DoubleType()), T.StructField("__expressions", T.LongType())])
+    columns = docs.columns
+    found = docs.mapInArrow(lambda it: ratio_batches(it, shared.value, columns), schema)
+    n = F.greatest(F.col("__expressions"), F.lit(1))
     a, b, c = (float(w) for w in weights)
-    logit = F.lit(a) * F.col("ratio") / n + F.lit(b) * F.col("ratio") / F.sqrt(n) + F.lit(c)
-    scored = found.withColumn("held_out", id_fold(F.col("doc_id")) == HELD_OUT_FOLD).withColumn("score", 1 / (1 + F.exp(-logit)))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select("doc_id", "held_out", "score", "predicted")
+    logit = F.lit(a) * F.col("__ratio") / n + F.lit(b) * F.col("__ratio") / F.sqrt(n) + F.lit(c)
+    return found.withColumn("__score", 1 / (1 + F.exp(-logit))).drop("__ratio", "__expressions")
+
+
+def score(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; labelled texts come from train_docs, or docs."""
+    found = _scored(docs.select("doc_id", "text"), labels, docs if train_docs is None else train_docs, max_toxic, max_ordinary)
+    held_out = (id_fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out")
+    return found.select("doc_id", held_out, F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> DataFrame:
+    """docs' rows and columns without the documents predicted toxic."""
+    found = _scored(docs, labels, docs if train_docs is None else train_docs, max_toxic, max_ordinary)
+    return found.where("__score < 0.5").drop("__score")
