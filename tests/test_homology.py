@@ -76,7 +76,7 @@ def test_ties_and_manhattan(spark):
 
 
 def test_edge_cases(spark):
-    empty = cloud(spark, []) if False else spark.createDataFrame([], "id long, coords array<float>")
+    empty = spark.createDataFrame([], "id long, coords array<float>")
     got = compute_persistent_homology(empty, 2)
     assert got.pairs.count() == 0 and got.dim(2).count() == 0
     close(compute_persistent_homology(cloud(spark, [[1, 2, 3]]), 1).pairs.collect(), [(0, 0.0, math.inf)])
