@@ -18,8 +18,8 @@ from cavern.llm.queries import vocabulary_path
 #: The toxicity models have no SQL, so neither has the pipeline; tests hold it against brute force.
 ORACLE_SQL = None
 
-#: Near-duplicates of the pipeline: five-word shingles.
-SHINGLE_WORDS, RADIUS = 5, 4
+#: Near-duplicates of the pipeline: five-word shingles and their similarity.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of each component of near-duplicates, the document of the least doc_id stays."""
-    return simhash.one_of_each(docs, SHINGLE_WORDS, RADIUS)
+    return simhash.one_of_each(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

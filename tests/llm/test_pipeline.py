@@ -1,8 +1,8 @@
 import corpus_pipeline as cp
-from cavern.llm import packing
+from cavern.llm import packing, simhash
 
 from .test_linededup import plain
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_components, plain_wide
 
 
 def tables(spark, tmp_path):
@@ -32,7 +32,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     near = cp.drop_near_duplicates(spark, df, d)
     assert near.columns == docs.columns
     own = sorted(lined, key=lambda r: (r[0] is None, r[0] or 0))
-    roots = plain_components([plain_fingerprint(r[1], cp.SHINGLE_WORDS) for r in own], cp.RADIUS)
+    roots = plain_components([plain_wide(r[1], cp.SHINGLE_WORDS) for r in own], simhash.similar_radius(cp.SIMILARITY))
     assert sorted((r.doc_id for r in near.collect()), key=str) == sorted((own[k][0] for k in set(roots)), key=str)
 
 

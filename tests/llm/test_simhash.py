@@ -17,6 +17,26 @@ def plain_fingerprint(text, n=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def plain_wide(text, n=5):
+    """The words of a wide fingerprint as one number."""
+    mask = (1 << 64) - 1
+    words = (text or "").lower().split()
+    shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
+    out = 0
+    for k in range(simhash.WIDE):
+        hs = []
+        for s in shingles:
+            x = xxhash.xxh64_intdigest(s.encode(), 42)
+            if k:
+                x = (x + k * 0x9E3779B97F4A7C15) & mask
+                x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+                x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+                x ^= x >> 31
+            hs.append(x)
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << 64 * k
+    return out
+
+
 def plain_components(fps, radius):
     root = list(range(len(fps)))
 
@@ -91,3 +111,22 @@ def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 300)], "u long, v long")
     got = dict(components(edges).collect())
     assert all(got[i] == 0 for i in range(1, 61)) and got[200] == got[300] == 100
+
+
+def test_similar_texts_are_tied(spark):
+    r = random.Random(6)
+    rows, of = [], {}
+    for g in range(60):
+        words = [f"v{r.randrange(5000)}" for _ in range(400)]
+        for c in range(3):
+            own = list(words)
+            for k in range(3 * c):  # each change spoils five shingles
+                own[40 + 60 * k % 300] = f"new{g}x{c}x{k}"
+            rows.append((3 * g + c, " ".join(own)))
+            of[3 * g + c] = 3 * g
+    got = simhash.similar_component_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same = sum(x.component_id == of[x.doc_id] for x in got)
+    assert same >= 0.97 * len(got) and all(of[x.component_id] == of[x.doc_id] for x in got)
+    for hot in (16_384, 2):
+        found = simhash.similar_component_ids(spark.createDataFrame([(i, "one two three four five six") for i in range(9)] + [(9, None)], "doc_id long, text string"), shard_rows=hot).collect()
+        assert {x.component_id for x in found} == {0, 9}
