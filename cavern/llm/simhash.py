@@ -37,7 +37,7 @@ QUERIES = 4096
 #: Fingerprints of a shard whose queries one task takes.
 SHARD_ROWS = 16_384
 #: The mean number of fingerprints in a shard that decides on the number of blocks.
-SHARD_MEAN = 32
+SHARD_MEAN = 64
 #: Words of a wide fingerprint, for similarities whose radius is beyond an exact search in 64 bits.
 WIDE = 3
 WORDS = [f"w{k}" for k in range(WIDE)]
