@@ -249,7 +249,8 @@ def tied_components(docs_fp: DataFrame, firsts: DataFrame, edges: DataFrame) ->
     tied = firsts.select("fp", "first").join(nodes.withColumnRenamed("node", "fp"), "fp")
     least = tied.groupBy("root").agg(F.min("first").alias("least"))
     tied = tied.join(least, "root").select("fp", "least")
-    found = firsts.select("fp", "first").join(tied, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the last join has plain exchanges on both sides and a fingerprint of very many copies can be split.
+    found = checkpointed(firsts.select("fp", "first").join(tied, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return docs_fp.join(found, "fp")
 
 
