@@ -17,6 +17,8 @@ from .reduce import Filtration, construct, reduce_matrix
 
 #: Edges that one task of the spanning forest takes.
 FOREST_EDGES = 2_000_000
+#: Bytes of coordinates that the reduction above dimension 0 broadcasts at most.
+CLOUD_BYTES = 512 << 20
 
 
 def forest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,6 +90,9 @@ def persistence_of(points: DataFrame, max_dim: int, distance: Distance | None =
     tree = spanning_forest(edge_table)
     found = pairs_of_dim0(points, tree)
     if max_dim:
+        size = points.agg(F.sum(F.size("coords")) * np.dtype(precision).itemsize).first()[0]
+        if size > CLOUD_BYTES:
+            raise MemoryError(f"the cloud has {size} bytes of coordinates; above dimension 0 every task needs them all, and at most {CLOUD_BYTES} are broadcast")
         rows = points.orderBy("point_id").toPandas()
         coords = np.stack(rows["coords"].to_numpy()).astype(np.dtype(precision))
         own = Filtration(coords, distance, threshold, max_dim)
@@ -99,8 +104,7 @@ def persistence_of(points: DataFrame, max_dim: int, distance: Distance | None =
             known = known.join(deaths, "index", "left_anti")
             columns = reduce_matrix(construct(known, filtration, dim), filtration, dim, system.count(dim + 2), partitions)
             found = found.unionByName(pairs_of_columns(columns, dim))
-            # Apparent deaths need no clearing: their columns reduce to nothing by themselves, and as births of
-            # apparent pairs or of zero length they would be dropped; the others are told by their pivots.
+            # Apparent pairs are in no column, so their deaths are listed beside the pivots.
             deaths = columns.where("pivot >= 0").select(F.col("pivot").alias("index")).unionByName(apparent_deaths(edge_table, filtration, dim)) if dim < max_dim else deaths
     return Persistence(found, max_dim)
 
