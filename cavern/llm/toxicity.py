@@ -40,7 +40,8 @@ DISCOUNT = 2.5
 #: Words in fewer of the sample's texts are left to their beginnings.
 LEAST_TEXTS = 2
 BEGINNINGS = (5, 4)
-CACHE_WORDS = 500_000
+#: Words whose ratio a task remembers.
+CACHE_WORDS = 150_000
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -124,6 +125,7 @@ def ratio_batches(batches: Iterator[pa.RecordBatch], ratios: Ratios, extra: list
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in extra), pa.array([ratios(x) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())], names=[*extra, "__ratio", "__expressions"]
             )
+    ratios.cache.clear()  # other operators' tasks may run in this worker next
 
 
 def sample(labels: DataFrame, max_toxic: int, max_ordinary: int) -> DataFrame:
