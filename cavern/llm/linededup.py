@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Words from which a block is a passage.
 MIN_WORDS = 20
 
@@ -100,7 +102,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = keyed.where(F.length(F.trim(line)) > 0).select("doc_id", "doc", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), words.alias("words"))
     first = F.min(F.struct("doc_id", "doc", "pos")).alias("first")
     shared = lines.groupBy("h1", "h2").agg(first, F.max(F.struct("doc_id", "doc")).alias("last"))
-    shared = shared.where("first.doc <> last.doc").select("h1", "h2", F.col("first.doc").alias("source"), F.col("first.pos").alias("source_pos"))
+    # Written, so that the join below has plain exchanges on both sides and a line of very many documents can be split.
+    shared = checkpointed(shared.where("first.doc <> last.doc").select("h1", "h2", F.col("first.doc").alias("source"), F.col("first.pos").alias("source_pos")))
     hits = lines.join(shared, ["h1", "h2"]).where("doc <> source")
     later = hits.groupBy("doc").agg(F.collect_set(F.struct("pos", "words", "source", "source_pos")).alias("lines"))
     return later.mapInArrow(lambda it: align_batches(it, min_words), "doc long, removed_lines array<int>")
