@@ -54,6 +54,8 @@ class ByteBPE:
         of_symbol = {c: b for b, c in enumerate(symbols)}
         self.size = max([*vocab.values(), *(x["id"] for x in spec["added_tokens"])]) + 1
         self.byte_ids = np.array([vocab[c] for c in symbols], np.int64)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.last_ids = np.array([vocab[c + suffix] for c in symbols], np.int64)
         pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -79,8 +81,10 @@ class ByteBPE:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and each word's number of them. Words are not empty."""
-        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        raw, lengths = np.frombuffer(b"".join(words), np.uint8), [len(w) for w in words]
+        sym, last = self.byte_ids[raw], np.cumsum(lengths) - 1
+        sym[last] = self.last_ids[raw[last]]
+        word = np.repeat(np.arange(len(words)), lengths)
         done_sym, done_word = [], []
         while len(sym):
             key = sym[:-1] * self.size + sym[1:]
@@ -102,19 +106,30 @@ class ByteBPE:
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
+    def merge_runs(self, words: list[str], break_word: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of words, one after the other, and each run's number of them.
+
+        break_word stands between two runs and after the last; a distinct word is merged once.
+        """
+        distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        ends = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+        stop = distinct.pop(break_word)
+        ids, counts = self.merge([w.encode() for w in distinct])
+        counts = np.insert(counts, stop, 0)
+        offsets = np.cumsum(counts) - counts
+        bounds = np.cumsum(counts[ends])[ends == stop]
+        return ragged(ids, offsets[ends], counts[ends]), np.diff(np.r_[0, bounds])
+
     def learn(self, runs: set[str]) -> None:
         """Adds runs not met before to the store."""
         new = [r for r in runs if r not in self.known]
         if not new:
             return
-        words = [INNER.findall(r) for r in new]
-        distinct = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        ids, counts = self.merge([w.encode() for w in distinct])
-        offsets = np.cumsum(counts) - counts
-        picks = np.fromiter((distinct[w] for ws in words for w in ws), np.int64)
-        flat = ragged(ids, offsets[picks], counts[picks])
-        n_words = np.array([len(ws) for ws in words])
-        lengths = np.add.reduceat(counts[picks], np.cumsum(n_words) - n_words)
+        words = []
+        for run in new:
+            words += INNER.findall(run)
+            words.append("")
+        flat, lengths = self.merge_runs(words, "")
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(flat)), np.int32)])
         self.ids[self.used : self.used + len(flat)] = flat

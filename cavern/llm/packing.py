@@ -15,6 +15,7 @@ any other; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import ByteBPE
 from .common import WHITE, checkpointed, n_parts, ragged, slices, texts
 
 CAPACITY = 4096
@@ -34,14 +36,18 @@ SLACK = 1 / 64
 #: Pieces of a class that one task numbers.
 CLASS_ROWS = 100_000
 #: Chunks that a worker remembers before it starts afresh.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
+#: Chunks of letters whose case and normal form don't depend on context, without the mark of special tokens.
+PLAIN = re.compile("(?!.*<\\|)[\0-\xff]*", re.DOTALL)
+#: What the vocabulary's pre-tokenizer keeps of a chunk (fixed values), and the line end between chunks.
+PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+|\n")
 CHUNK = regex.compile(f"[^{WHITE}]+")
 #: What str.split takes for white space but the vocabulary's normalizer doesn't.
 SEPARATORS = "".join(map(chr, range(28, 32)))
 
 
 class ChunkTokenizer:
-    """Encodes texts with the tokenizers library, each distinct run between white space once.
+    """Encodes texts as the tokenizers library does, each distinct run between white space once.
 
     Right for vocabularies whose normalizer and pre-tokenizer treat such runs apart and drop the white space,
     as word-end BPE does.
@@ -54,6 +60,7 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merger = ByteBPE(path)
         self.forget()
 
     def forget(self) -> None:
@@ -62,19 +69,26 @@ class ChunkTokenizer:
         self.offsets, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, chunks: set[str]) -> None:
+        """Plain chunks are merged in numpy rounds, many at once; the library encodes the others."""
         new = [c for c in chunks if c not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = [x.ids for x in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        plain = new if PLAIN.fullmatch("".join(new)) else [c for c in new if PLAIN.fullmatch(c)]
+        for at in range(0, len(plain), 50_000):
+            part = plain[at : at + 50_000]
+            self.add(part, *self.merger.merge_runs(PIECE.findall("\n".join([*part, ""]).lower()), "\n"))
+        if len(plain) < len(new):
+            others = [c for c in new if not PLAIN.fullmatch(c)]
+            found = [x.ids for x in self.library.encode_batch_fast(others, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(flat)), np.uint32)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.offsets = np.concatenate([self.offsets, self.used + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.used += len(flat)
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+            self.add(others, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
+
+    def add(self, part: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(flat)), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.offsets = np.concatenate([self.offsets, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used += len(flat)
+        self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and each text's number of them."""
@@ -136,6 +150,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cap
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
+    own.forget()  # other operators' tasks may run in this worker next
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, digest: Callable[[np.ndarray], int] = crc32_of) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -13,6 +14,8 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_chunks_encode_like_whole_texts():
     lib, own = Tokenizer.from_file(PATH), packing.ChunkTokenizer(PATH)
     batch = ["", "It's  A test\x1cwith\x85odd space", "É é ́x ΣΑΣ ΣΑΣ. İx", "<|endoftext|> a<|startoftext|>b", "1234 5.6 中文🙂", "  lead and trail \n"]
+    r = random.Random(1)
+    batch += ["".join(r.choice("aAbBßÀéµªº½²'sStT’<|>.,;1 \n" + "\x1c\x7f\xa0\xad") for _ in range(r.randint(1, 120))) for _ in range(300)]
     ids, counts = own.encode(batch)
     at = 0
     for text, n in zip(batch, counts):
