@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, texts
+from .common import checkpointed, ragged, slices, texts
 from .graph import components
 
 #: Fingerprints of a subtree that are compared at once instead of being split further.
@@ -38,6 +38,13 @@ QUERIES = 4096
 SHARD_ROWS = 16_384
 #: The mean number of fingerprints in a shard that decides on the number of blocks.
 SHARD_MEAN = 64
+#: Texts of a block of a large group of similar fingerprints; a task compares two blocks.
+BLOCK_ROWS = 1024
+#: Shingles of texts that are looked up at once.
+GATHERED = 4_000_000
+#: One of so many documents is in the sample whose common shingles come last in the prefixes; in how many of the
+#: sample's texts these are, and how many of them there are at most.
+SAMPLE, COMMON_TEXTS, COMMON_SHINGLES = 64, 8, 100_000
 #: Words of a wide fingerprint, for similarities whose radius is beyond an exact search in 64 bits.
 WIDE = 3
 WORDS = [f"w{k}" for k in range(WIDE)]
@@ -185,8 +192,11 @@ def forest_batches(batches: Iterator[pa.RecordBatch], radius: int, node: str, wo
         fps = np.stack(columns[4:], 1).view(np.uint64)
         cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
         bounds = np.r_[0, cuts, len(fps)]
-        edges = [(a, *spanning(fps[a:b], asked[a:b], radius)) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
-        edges = [(nodes[a + u], nodes[a + v]) for a, u, v in edges if len(u)]
+        sizes = np.diff(bounds)
+        two = bounds[:-1][sizes == 2]
+        two = two[(asked[two] | asked[two + 1]) & (hamming(fps[two], fps[two + 1]) <= radius)]
+        edges = [(a, *spanning(fps[a:b], asked[a:b], radius)) for a, b in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2])]
+        edges = [(nodes[a + u], nodes[a + v]) for a, u, v in edges if len(u)] + ([(nodes[two], nodes[two + 1])] if len(two) else [])
         if edges:
             u, v = (np.concatenate(x) for x in zip(*edges))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -266,12 +276,41 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4) ->
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+def shingle_set(text: str, shingle_words: int) -> np.ndarray:
+    """The distinct shingle hashes in order; a text without words has the one hash zero, so that such texts are equal."""
+    hashes = np.unique(shingle_hashes(text, shingle_words))
+    return hashes if len(hashes) else np.zeros(1, np.uint64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes, common ones last: sets of the similarity or more share one of these."""
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    late = np.isin(hashes, common)
+    return np.r_[hashes[~late], hashes[late]][:size]
+
+
+def wide_batches(batches: Iterator[pa.RecordBatch], shingle_words: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
-            hashes = [shingle_hashes(t, shingle_words) for t in texts(batch, "text")]
-            words = [np.array([majority(remixed(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, words)], names=["doc_id", *WORDS])
+            sets = [shingle_set(t, shingle_words) for t in texts(batch, "text")]
+            words = [np.array([majority(remixed(h, k)) for h in sets], np.uint64).view(np.int64) for k in range(WIDE)]
+            shards = [prefix(h, similarity, common).view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), *map(pa.array, words), pa.array(shards, pa.list_(pa.int64()))], names=["doc_id", "fp", *WORDS, "shards"])
+
+
+def count_shingles(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            shingles, counts = np.unique(np.concatenate([shingle_set(t, shingle_words) for t in texts(batch, "text")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(counts)], names=["shingle", "texts"])
+
+
+def common_shingles(docs: DataFrame, shingle_words: int) -> np.ndarray:
+    """Shingles that are common in a sample. They only order the prefixes, so no result depends on them."""
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = chosen.mapInArrow(lambda it: count_shingles(it, shingle_words), "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
+    found = counts.where(F.col("texts") >= COMMON_TEXTS).orderBy(F.desc("texts"), "shingle").limit(COMMON_SHINGLES).toArrow()
+    return found.column("shingle").to_numpy().view(np.uint64)
 
 
 def similar_radius(similarity: float) -> int:
@@ -279,19 +318,109 @@ def similar_radius(similarity: float) -> int:
     return round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def similar_component_ids(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id), linked at a similarity estimated from wide fingerprints.
+def search_radius(similarity: float) -> int:
+    """The radius five standard deviations beyond the mean at the similarity."""
+    share = similar_radius(similarity) / (64 * WIDE)
+    return similar_radius(similarity) + math.ceil(5 * math.sqrt(64 * WIDE * share * (1 - share)))
+
+
+def similar_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (indices u, v) of a forest that ties the sets as all links do: within the radius, and exactly of the similarity or more."""
+    sizes = np.array([len(x) for x in sets])
+    offsets = np.cumsum(sizes) - sizes
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    left = np.arange(len(sets))
+    us, vs = [], []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            can = hamming(fps[left], fps[x]) <= radius
+            can &= np.minimum(sizes[left], sizes[x]) >= similarity * np.maximum(sizes[left], sizes[x]) - 1e-9
+            near = left[can]
+            if not len(near):
+                continue
+            own = codes[offsets[x] : offsets[x] + sizes[x]]
+            mark[own] = True
+            shared = np.empty(len(near), np.int64)
+            for part in np.split(np.arange(len(near)), np.flatnonzero(np.diff(np.cumsum(sizes[near]) // GATHERED)) + 1):
+                of = sizes[near[part]]
+                shared[part] = np.add.reduceat(mark[ragged(codes, offsets[near[part]], of)], np.cumsum(of) - of, dtype=np.int64)
+            mark[own] = False
+            hit = near[shared >= similarity * (sizes[near] + sizes[x] - shared) - 1e-9]
+            us.append(hit)
+            vs.append(np.full(len(hit), x))
+            todo += hit.tolist()
+            left = np.setdiff1d(left, hit, assume_unique=True)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (left, left)
+
+
+def similar_batches(batches: Iterator[pa.RecordBatch], shingle_words: int, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (root, part, fp, words of the fingerprint, text), sorted by root and part, to edges (u, v) of fp."""
+
+    def done(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(group)
+        if rows.num_rows < 2:
+            return None
+        fps = np.stack([rows.column(w).to_numpy() for w in WORDS], 1).view(np.uint64)
+        u, v = similar_forest(fps, [shingle_set(t or "", shingle_words) for t in rows.column("text").to_pylist()], radius, similarity)
+        nodes = rows.column("fp").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"]) if len(u) else None
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        root, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("root", "part"))
+        bounds = [0, *(np.flatnonzero((np.diff(root) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(root)]
+        for a, b in zip(bounds, bounds[1:]):
+            if a == b:
+                continue
+            if held and last != (root[a], part[a]):
+                if found := done(held):
+                    yield found
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = root[a], part[a]
+    if held and (found := done(held)):
+        yield found
+
+
+def similar_links(docs: DataFrame, firsts: DataFrame, near: DataFrame, shingle_words: int, similarity: float, block_rows: int) -> DataFrame:
+    """Edges (u, v) of fp that tie texts as all links of exactly the similarity or more do.
 
-    A shard is two equal bytes of one word; two texts of similarity 0.8 meet in one of the 28 times WIDE shards with
-    a probability of 0.97, of 0.9 with over 0.999.
+    near (u, v) ties all that can be linked. Each group it ties is read whole, and by pairs of blocks beyond `block_rows`.
+    """
+    roots = components(near)
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+    large = nodes.groupBy("root").count().where(F.col("count") > block_rows).select("root", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
+    nodes = nodes.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    nodes = checkpointed(nodes.join(firsts.select("fp", "first", *WORDS), "fp"))
+    same = (F.col("t.fp") == F.col("n.fp")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    rows = docs.alias("t").join(nodes.alias("n"), same).select("n.*", "text")
+    rows = rows.groupBy("root", "fp", "blocks", *WORDS).agg(F.any_value("text").alias("text"))  # rows may repeat id and text
+    block = F.pmod(F.xxhash64(F.lit(1), F.col("fp")), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != block) | (F.col("blocks") == 1))
+    pairs = F.transform(others, lambda x: F.least(x, block).cast("long") * F.col("blocks") + F.greatest(x, block))
+    rows = rows.select("root", F.explode(pairs).alias("part"), "fp", *WORDS, "text")
+    radius = search_radius(similarity)
+    return rows.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(lambda it: similar_batches(it, shingle_words, radius, similarity), "u long, v long")
+
+
+def similar_component_ids(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, fp, component_id), linked where the sets of shingles have the Jaccard similarity or more; fp is the text's hash.
+
+    A shard is a shingle, and a text is in the shards of its prefix, so that two texts of the similarity always meet.
+    BK-trees of wide fingerprints with a radius of five standard deviations more tie the groups whose sets are compared.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(lambda it: wide_batches(it, shingle_words), f"doc_id {kind}, " + ", ".join(f"{w} long" for w in WORDS))
-    docs_fp = checkpointed(found.select("doc_id", F.xxhash64(*WORDS).alias("fp"), *WORDS))
-    firsts = checkpointed(docs_fp.groupBy("fp", *WORDS).agg(F.min("doc_id").alias("first")))
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(8, 6)]
-    keys = F.array(*(F.xxhash64(F.lit(100 * j + k), F.col(w).bitwiseAND(F.lit(m))) for j, w in enumerate(WORDS) for k, m in enumerate(masks)))
-    return tied_components(docs_fp.select("doc_id", "fp"), firsts, sharded_links(firsts, keys, "fp", WORDS, similar_radius(similarity), shard_rows))
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
+    common = common_shingles(docs, shingle_words)
+    found = docs.mapInArrow(lambda it: wide_batches(it, shingle_words, similarity, common), f"doc_id {kind}, fp long, " + ", ".join(f"{w} long" for w in WORDS) + ", shards array<long>")
+    docs_fp = checkpointed(found)
+    firsts = checkpointed(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in (*WORDS, "shards"))))
+    near = sharded_links(firsts, F.col("shards"), "fp", WORDS, search_radius(similarity), shard_rows)
+    return tied_components(docs_fp.select("doc_id", "fp"), firsts, similar_links(docs, firsts, near, shingle_words, similarity, block_rows))
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -130,3 +130,29 @@ def test_similar_texts_are_tied(spark):
     for hot in (16_384, 2):
         found = simhash.similar_component_ids(spark.createDataFrame([(i, "one two three four five six") for i in range(9)] + [(9, None)], "doc_id long, text string"), shard_rows=hot).collect()
         assert {x.component_id for x in found} == {0, 9}
+
+
+def test_links_are_decided_by_exact_similarity(spark):
+    """Pairs just above and just below the similarity, common shingles, groups in several blocks, texts without words."""
+    r = random.Random(8)
+    rows, shared = [], [f"common{k}" for k in range(12)]
+    for g in range(150):
+        words = [f"v{r.randrange(5000)}" for _ in range(300)] + shared
+        for c, changes in enumerate((0, 6, 7, 12, 13)):  # of 308 shingles each change spoils five
+            own = list(words)
+            for k in range(changes):
+                own[10 + 20 * k] = f"new{g}x{c}x{k}"
+            rows.append((5 * g + c, " ".join(own)))
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "a b"), (2004, "A  b"), (None, rows[0][1])]
+    sets = [{tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    want = {i: rows[k][0] for (i, _), k in zip(rows, root)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_rows, block_rows in ((16_384, 1024), (200, 2)):
+        got = simhash.similar_component_ids(df, 5, 0.8, shard_rows, block_rows).collect()
+        assert {x.doc_id: x.component_id for x in got} == want
