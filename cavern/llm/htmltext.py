@@ -193,14 +193,19 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.string()), pa.array(keys), pa.array(list(counts.values()), pa.int64())], names=["host", "subtree", "pages"])
 
 
+def template_subtrees(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """host, its number of pages, and each subtree of its template."""
+    counted = pages.where("host <> ''").select("host", "html").mapInArrow(count_batches, "host string, subtree long, pages long")
+    # Written, so that pages are parsed once and a host of very many subtrees can be split in the join.
+    counts = checkpointed(counted.groupBy("host", "subtree").agg(F.sum("pages").alias("pages")).where((F.col("pages") >= least_pages) | (F.col("subtree") == 0)))
+    hosts = counts.where("subtree = 0").select("host", F.col("pages").alias("of"))
+    return counts.where("subtree <> 0").join(hosts, "host").where(F.col("pages") >= F.col("of") * least_share).select("host", "of", "subtree")
+
+
 def templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
     """host, its number of pages, and the array of its template's subtrees."""
-    counted = pages.where("host <> ''").select("host", "html").mapInArrow(count_batches, "host string, subtree long, pages long")
-    counts = counted.groupBy("host", "subtree").agg(F.sum("pages").alias("pages")).where((F.col("pages") >= least_pages) | (F.col("subtree") == 0))
-    each = F.collect_list(F.when(F.col("subtree") != 0, F.struct("subtree", "pages"))).alias("found")
-    hosts = counts.groupBy("host").agg(F.max(F.when(F.col("subtree") == 0, F.col("pages"))).alias("of"), each)
-    many = F.filter("found", lambda x: x["pages"] >= F.col("of") * least_share)
-    return hosts.select("host", "of", F.transform(many, lambda x: x["subtree"]).alias("template")).where(F.size("template") > 0)
+    found = template_subtrees(pages, least_pages, least_share)
+    return found.groupBy("host").agg(F.max("of").alias("of"), F.collect_list("subtree").alias("template"))
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

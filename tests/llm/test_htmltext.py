@@ -40,3 +40,9 @@ def test_recurring_subtrees_go_on_both_paths(spark):
         assert sorted(((x.page_id, x.text) for x in got), key=str) == expected(rows)
         assert all(x.n_chars == len(x.text) for x in got)
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_share_is_applied_before_subtrees_are_collected(spark):
+    rows = [(f"<div>menu</div><p>rare {i // 5}</p>", "hot.example") for i in range(100)] + [("<p>few</p>", "small.example")] * 5
+    found = htmltext.template_subtrees(spark.createDataFrame(rows, "html string, host string"), 5, 0.1)
+    assert sorted((x.host, x.of) for x in found.collect()) == [("hot.example", 100), ("small.example", 5)]
