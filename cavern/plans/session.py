@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import lru_cache
 from typing import Any
 
@@ -25,9 +26,19 @@ class Shared:
         return _loaded(self.data.value)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that all executors share; a local one is set only where the session names none."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Where none is named, a local master gets
+    a temporary one, and a cluster is refused: its executors couldn't read what others wrote."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/cavern-checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that all executors share, so that lost executors cost no lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
