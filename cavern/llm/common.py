@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpoint_folder, checkpointed  # noqa: F401
+
 #: Unicode White_Space, as the Rust regular expressions of the tokenizers have it (fixed values).
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Bytes of text that a Python worker handles at once.
@@ -21,17 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors share; only where none is set (tests), a local one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cavern-checkpoints")
-    return context.getCheckpointDir()
+    """The session's spark.checkpoint.dir, which all executors share; where none is set, a local master gets a local one."""
+    return checkpoint_folder(spark)
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that is read again; it is removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the folder that all executors share, so that lost executors cost no lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder: compressed, and read again by column."""
+    path = passing_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
