@@ -34,6 +34,8 @@ from .common import checkpointed, slices, texts, written
 
 #: Words from which a block is a passage.
 MIN_WORDS = 20
+#: Later documents of one source that are dealt out together.
+SOURCE_ROWS = 2_048
 #: A digest's bytes.
 DIGEST = 16
 #: What is written of a document's lines and runs.
@@ -179,7 +181,7 @@ def union_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.list_(pa.int32())), pa.array(flags, pa.list_(pa.bool_()))], names=["doc", "removed_lines", "flags"])
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, source_rows: int = SOURCE_ROWS) -> DataFrame:
     """doc, the hash of doc_id and text, the positions of its lines that go and a flag for each; only documents that lose some."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -191,9 +193,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Written, so that the joins below have plain exchanges on both sides, and a run or source of very many documents can be split.
     shared = checkpointed(shared.where("earliest.doc <> latest.doc").select("first", "second", F.col("earliest.doc").alias("source")))
     pairs = checkpointed(runs.join(shared, ["first", "second"]).where("doc <> source").select("doc", "source").distinct())
+    # A source of very many documents is dealt out in parts, its lines to each.
+    hot = pairs.groupBy("source").count().where(F.col("count") > source_rows).select("source", F.ceil(F.col("count") / source_rows).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    pairs = pairs.join(hot, "source", "left").select("doc", "source", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"))
     own = lined.drop("doc_id", "second").dropDuplicates(["doc"])
     sources = own.select(F.col("doc").alias("source"), F.col("lines").alias("e_lines"), F.col("first").alias("e_first"), F.col("begins").alias("e_begins"))
-    aligned = pairs.join(own, "doc").join(sources, "source").mapInArrow(lambda it: align_batches(it, min_words), "doc long, removed array<int>")
+    sources = sources.join(hot, "source", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    aligned = pairs.join(own, "doc").join(sources, ["source", "part"]).mapInArrow(lambda it: align_batches(it, min_words), "doc long, removed array<int>")
     later = aligned.groupBy("doc").agg(F.collect_list("removed").alias("removed"))
     return later.mapInArrow(union_batches, "doc long, removed_lines array<int>, flags array<boolean>")
 

@@ -105,3 +105,9 @@ def test_null_ids_and_long_texts(spark):
 @pytest.mark.parametrize("text", ["", None])
 def test_empty_texts(spark, text):
     assert dedup(spark, [(1, text), (2, text)]) == {1: text, 2: text}
+
+
+def test_a_source_of_many_documents_is_dealt_in_parts(spark):
+    rows = [(k, f"{line('p', 30)}\nown {k}") for k in range(40)]
+    gone = linededup.removals(spark.createDataFrame(rows, "doc_id long, text string"), source_rows=3).collect()
+    assert len(gone) == 39 and all(x.removed_lines == [0] for x in gone)
