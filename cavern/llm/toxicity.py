@@ -1,13 +1,18 @@
 """Operator 10: toxicity from two class-conditional Kneser-Ney models.
 
-Each class, toxic and ordinary, is a context that words follow, counted by the texts they stand in. A count is
-discounted by what the counts shared by both classes lead to expect, and by that expectation's spread; what
-remains speaks for the class. The rest backs off to the word's beginnings (five letters, then four), counted by
-the distinct words of the class that start so, and then to the shared continuation counts: in how many of the two
-classes an expression occurs. A rare expression so says little about either class, and an inflected form says
-what its stem does. A text's expressions are its distinct words. The difference of its log-likelihoods, per
-expression and per square root of their number, goes into a logistic function fitted to labelled texts that the
-models have not seen.
+Each class, toxic and ordinary, is a context that words follow; an expression counts by the distinct texts it occurs
+in. As in Kneser-Ney smoothing, a discount is taken off each class's counts, and the mass taken off is given to a
+backoff that smooths rare expressions by counts the classes share:
+
+    P(w | class) = (n(w) - d(w)) / N + L * P(s | class) * P(w | s),    L = sum of all d(w) / N
+
+s is the word's beginning of five letters, P(w | s) comes from the counts of both classes together, and P(s | class)
+is made alike from continuation counts (the distinct words of the class that begin so), backing off to four letters
+and these to the shared continuation counts. The discount is what the shared counts lead to expect of the class, and
+`DEVIATIONS` standard deviations of it, or all of a smaller count: a constant for rare expressions, as the absolute
+discount is, and more for frequent ones. The probabilities of each class sum to one. A text's expressions are its
+distinct words. The difference of its log-likelihoods, per expression and per square root of their number, goes into a
+logistic function fitted to labelled texts that the models have not seen.
 
 Models and fit use labelled rows outside the held-out fold, at most `max_toxic` and `max_ordinary` of them,
 chosen by a hash of the doc_id; whole texts are counted. One fold of these is the fit's. What is broadcast is
@@ -36,7 +41,7 @@ from .common import id_fold, slices, texts
 HELD_OUT_FOLD, FIT_FOLD = 0, 4
 MAX_TOXIC, MAX_ORDINARY = 8_000, 16_000
 #: Standard deviations of a count, besides its expectation, that are taken off before it speaks for its class.
-DISCOUNT = 2.5
+DEVIATIONS = 3.0
 #: Words in fewer of the sample's texts are left to their beginnings.
 LEAST_TEXTS = 2
 BEGINNINGS = (5, 4)
@@ -60,36 +65,53 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "n0", "n1"])
 
 
-def beyond_shared(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Of counts [:, class]: the share of the class that the shared counts don't account for."""
-    expected = counts.sum(axis=1, keepdims=True) * total / max(total.sum(), 1)
-    return np.maximum(counts - expected - DISCOUNT * np.sqrt(expected + 1), 0) / np.maximum(total, 1)
+def smoothed(counts: np.ndarray, total: np.ndarray, backoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many times likelier than by the shared counts each class makes expressions, and the mass of its backoff.
+
+    counts [expression, class] may lack expressions that are discounted whole; total has the sums over all by class;
+    backoff is relative to the shared counts as well."""
+    total = np.maximum(total, 1)
+    shared = counts.sum(axis=1, keepdims=True) / total.sum()
+    expected = shared * total
+    left = (counts - np.minimum(counts, expected + DEVIATIONS * np.sqrt(expected + 1))) / total
+    mass = 1 - left.sum(axis=0)
+    return left / shared + mass * backoff, mass
 
 
 class Ratios:
-    """log toxic minus log ordinary likelihood of expressions; levels: words, then beginnings from long to short.
+    """log toxic minus log ordinary likelihood of expressions.
 
-    A level is (expressions, counts [:, class], totals by class, sum of the classes each expression occurs in).
+    A level is (expressions, counts [:, class], totals by class, pooled counts of the longer expressions that begin
+    so); first words, whose last item is unused, then beginnings from long to short.
     """
 
-    def __init__(self, levels: list[tuple[list[str], np.ndarray, np.ndarray, float]]):
+    def __init__(self, levels: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]):
         self.tables: list[dict[str, float]] = []
-        shorter: dict[str, np.ndarray] = {}
-        for (names, counts, total, kinds), n in reversed(list(zip(levels, (*BEGINNINGS, None)))):
-            # How much likelier than by the shared counts each class makes an expression.
-            shared = (counts > 0).sum(axis=1, keepdims=True) / max(kinds, 1)
-            above = np.array([shorter.get(x[:n], (1.0, 1.0)) for x in names]).reshape(-1, 2)
-            relative = beyond_shared(counts, total) / np.maximum(shared, 1e-300) + above
-            logs = np.log(relative[:, 1]) - np.log(relative[:, 0])
-            self.tables.insert(0, dict(zip(names, logs.tolist())))
-            shorter = {x: (a, b) for x, (a, b) in zip(names, relative.tolist())}
+        #: By level, what an expression unknown there adds before its beginning is looked up.
+        self.unknown: list[float] = []
+        shorter: dict[str, list[float]] = {}
+        for k in range(len(levels) - 1, -1, -1):
+            names, counts, total, longer = levels[k]
+            backoff = np.ones((len(names), 2))
+            if k + 1 < len(levels) and names:
+                n = BEGINNINGS[k]
+                backoff = np.array([shorter[x[:n]] for x in names])
+            found, mass = smoothed(counts.reshape(-1, 2), total, backoff)
+            mass = np.maximum(mass, 1e-9)
+            self.unknown.insert(0, float(np.log(mass[1]) - np.log(mass[0])))
+            self.tables.insert(0, dict(zip(names, (np.log(found[:, 1]) - np.log(found[:, 0])).tolist())))
+            # Relative to the pooled counts of the longer expressions, by which the next level shares out a beginning.
+            weight = counts.sum(axis=1) / max(total.sum(), 1) / np.maximum(longer / max(longer.sum(), 1), 1e-300) if k else np.ones(len(names))
+            shorter = dict(zip(names, (found * weight.reshape(-1, 1)).tolist()))
         self.cache: dict[str, float] = {}
 
     def one(self, word: str) -> float:
-        for table, n in zip(self.tables, (None, *BEGINNINGS)):
+        out = 0.0
+        for table, unknown, n in zip(self.tables, self.unknown, (None, *BEGINNINGS)):
             if (found := table.get(word[:n])) is not None:
-                return found
-        return 0.0
+                return out + found
+            out += unknown
+        return out
 
     def __call__(self, words: set[str]) -> float:
         if len(self.cache) > CACHE_WORDS:
@@ -138,16 +160,20 @@ def sample(labels: DataFrame, max_toxic: int, max_ordinary: int) -> DataFrame:
 
 def learn(counts: DataFrame) -> Ratios:
     """From partial counts (word, n0, n1) to the models, which the size of the sample bounds."""
-    both = lambda table: np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], 1).astype(float)
-    levels = []
-    own = counts.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    levels, kept = [], []
+    own = counts.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.lit(0).cast("long").alias("longer"))
     for n, least in ((None, LEAST_TEXTS), *((n, 1) for n in BEGINNINGS)):
         if n:
-            own = own.groupBy(F.substring("word", 1, n).alias("word")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
+            begun = [F.count_if(F.col(c) > 0).alias(c) for c in ("n0", "n1")]
+            own = own.groupBy(F.substring("word", 1, n).alias("word")).agg(*begun, F.sum(F.col("n0") + F.col("n1")).alias("longer"))
         own = own.persist()
-        sums = own.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
+        kept.append(own)
+        total = own.agg(F.sum("n0"), F.sum("n1")).first()
         table = own.where(F.col("n0") + F.col("n1") >= least).toArrow()
-        levels.append((table.column("word").to_pylist(), both(table), np.array([x or 0 for x in sums[:2]], float), float(sum(sums[2:]))))
+        columns = [table.column(c).to_numpy().astype(float) for c in ("n0", "n1", "longer")]
+        levels.append((table.column("word").to_pylist(), np.stack(columns[:2], 1), np.array([x or 0 for x in total], float), columns[2]))
+    for own in kept:
+        own.unpersist()
     return Ratios(levels)
 
 
