@@ -1,5 +1,8 @@
 """Operators 5 and 9: nearest neighbours by a forest of random-projection trees, and exact top-k by segment statistics.
 
+Both hold a stated set of queries against all rows. Queries are broadcast in chunks of bounded size; each task reads
+its rows once for every chunk and keeps the k best of each query, which are all that is shuffled.
+
 Shared cases: vectors that are null, hold null or non-finite components, or whose id is null take no part
 (operator 5: zero vectors neither); a query's own row is every row of its id; vectors of other lengths than a
 query's are no candidates of it; equal vectors tie, and the smaller id goes first; rows that repeat an id and its
@@ -9,17 +12,23 @@ vector count once; an empty table gives an empty result; other columns are not r
 from __future__ import annotations
 
 import heapq
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, n_parts
+from .common import n_parts, written
 
 # ---------------------------------------------------------------- shared
 
+#: Components of the queries that are broadcast at once (16 MB).
+CHUNK_COMPONENTS = 2_000_000
+#: Rows of a table that a task takes in one round.
+ROWS = 8_192
+
 
 def vectors(rows: DataFrame, zero: bool) -> DataFrame:
     """vec_id and embedding of the rows that take part, each once."""
@@ -50,60 +59,100 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int, nearest: bool) -> np.ndarr
     return np.lexsort((ids, key))
 
 
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(length, vec_id, vectors) of a batch's vectors of each length, and what other columns it has."""
+    others = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("vec_id", "embedding")]
+    ids, column = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("embedding")
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    lengths = np.diff(offsets)
+    for n in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == n)
+        yield n, ids[own], flat[offsets[own][:, None] + np.arange(n)].astype(np.float64), *(c[own] for c in others)
+
+
+def collected(rows: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
+    """(vec_id, vectors) and other columns, by length, of rows of bounded number."""
+    table = rows.toArrow().combine_chunks()
+    return {n: own for batch in table.to_batches() for n, *own in by_length(batch)}
+
+
+def against_all(own: DataFrame, asked: DataFrame, search: Callable, kind: str, chunk: int) -> DataFrame:
+    """(query_id, vec_id, score): what search(queries, batches) finds in the tasks, over all chunks of queries."""
+    spark = own.sparkSession
+    schema = f"query_id long, vec_id long, score {kind}"
+    size = asked.agg(F.sum(F.size("embedding") + 1)).first()[0] or 0
+    chunks = n_parts(size, chunk)
+    found = None
+    for k in range(chunks if size else 0):
+        part = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(chunks)) == k)
+        shared = spark.sparkContext.broadcast(collected(part))
+        rows = own.mapInArrow(lambda it, shared=shared: search(shared.value, it), schema)
+        found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def as_batch(query: list[np.ndarray], vec: list[np.ndarray], score: list[np.ndarray], kind) -> pa.RecordBatch:
+    columns = [np.concatenate(c) if c else np.empty(0) for c in (query, vec, score)]
+    arrays = [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, kind))]
+    return pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+
+
 # ---------------------------------------------------------------- operator 5
 
 #: Vectors that the forest's planes are fitted on; every vector is indexed.
 SAMPLE = 20_000
-TREES, LEAF = 8, 256
-#: Vectors of the sample, counted once a tree, that the leaves searched hold, as a multiple of the sample.
-SEARCH = 1.6
-#: Vectors of a leaf that one task compares.
-LEAF_ROWS = 4_096
+TREES, LEAF = 32, 16
+#: Vectors that the leaves searched for a query hold, counted once a tree: so many times the table's number to a power.
+SEARCH, POWER = 6.0, 0.75
+#: Queries whose leaves a task looks up at once.
+QUERIES = 64
 
 
 class Forest:
-    """Random-projection trees fitted on a sample; a node splits at the median of a projection."""
+    """Random-projection trees fitted on a sample; a node splits at the median of a projection.
+
+    Nodes are numbered over all trees and listed by depth; a leaf's number is -1 - its index. A leaf's priority is the
+    sum of the squared margins by which a query lies on the other side on the way down.
+    """
 
     def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.planes, self.cuts, self.children, self.roots, self.leaf_of, self.leaf_sizes = [], [], [], [], {}, []
+        planes, cuts, children, self.roots, sizes, depths = [], [], [], [], [], []
         for _ in range(trees):
-            self.roots.append(self._grow(sample, np.arange(len(sample)), leaf, rng))
-        self.planes = np.array(self.planes).reshape(-1, sample.shape[1])
-        self.cuts = np.array(self.cuts)
-
-    def _grow(self, sample: np.ndarray, top: np.ndarray, leaf: int, rng) -> int:
-        """Nodes are numbered; a leaf's number is -1 - its index."""
-        root, todo = None, [(top, None, 0)]
-        while todo:
-            rows, parent, side = todo.pop()
-            here = None
-            if len(rows) > leaf:
-                a, b = rng.choice(len(rows), 2, replace=False)
-                plane = sample[rows[a]] - sample[rows[b]]
-                plane = plane if plane.any() else rng.standard_normal(sample.shape[1])
-                plane /= np.linalg.norm(plane)
-                at = sample[rows] @ plane
-                cut = np.median(at)
-                left = at < cut
-                if left.any() and not left.all():
-                    here = len(self.planes)
-                    self.planes.append(plane)
-                    self.cuts.append(cut)
-                    self.children.append([0, 0])
-                    todo += [(rows[left], here, 0), (rows[~left], here, 1)]
-            if here is None:
-                here = -1 - len(self.leaf_sizes)
-                self.leaf_sizes.append(len(rows))
-            if parent is None:
-                root = here
-            else:
-                self.children[parent][side] = here
-        return root
+            self.roots.append(0)
+            todo = [(np.arange(len(sample)), -1 - trees, len(self.roots) - 1, 0)]
+            while todo:
+                rows, parent, side, depth = todo.pop()
+                here = None
+                if len(rows) > leaf:
+                    a, b = rng.choice(len(rows), 2, replace=False)
+                    plane = sample[rows[a]] - sample[rows[b]]
+                    plane = plane if plane.any() else rng.standard_normal(sample.shape[1])
+                    plane = plane / np.linalg.norm(plane)
+                    at = sample[rows] @ plane
+                    cut = np.median(at)
+                    left = at < cut
+                    if left.any() and not left.all():
+                        here = len(planes)
+                        planes.append(plane)
+                        cuts.append(cut)
+                        children.append([0, 0])
+                        depths.append(depth)
+                        todo += [(rows[left], here, 0, depth + 1), (rows[~left], here, 1, depth + 1)]
+                if here is None:
+                    here = -1 - len(sizes)
+                    sizes.append(len(rows))
+                if parent < 0:
+                    self.roots[side] = here
+                else:
+                    children[parent][side] = here
+        self.planes = np.array(planes).reshape(-1, sample.shape[1])
+        self.cuts, self.children, self.leaf_sizes = np.array(cuts), np.array(children, np.int64).reshape(-1, 2), sizes
+        order = np.argsort(depths, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(np.array(depths)[order])) + 1) if depths else []
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree."""
-        children = np.array(self.children).reshape(-1, 2)
         out = np.empty((len(x), len(self.roots)), np.int64)
         for t, root in enumerate(self.roots):
             node = np.full(len(x), root)
@@ -111,97 +160,113 @@ class Forest:
             while len(inner):
                 n = node[inner]
                 right = np.einsum("ij,ij->i", x[inner], self.planes[n]) >= self.cuts[n]
-                node[inner] = children[n, right.astype(int)]
+                node[inner] = self.children[n, right.astype(int)]
                 inner = inner[node[inner] >= 0]
             out[:, t] = -1 - node
         return out
 
-    def search(self, x: np.ndarray, wanted: float) -> list[int]:
-        """Leaves by one queue over all trees, least margin first, until they held `wanted` sample vectors."""
-        margin = self.planes @ x - self.cuts if len(self.cuts) else np.empty(0)
-        queue = [(0.0, root) for root in self.roots]
-        heapq.heapify(queue)
-        out, got = [], 0
-        while queue and (got < wanted or not out):
-            far, node = heapq.heappop(queue)
-            while node >= 0:
-                m = margin[node]
-                near, other = self.children[node][int(m >= 0)], self.children[node][int(m < 0)]
-                heapq.heappush(queue, (max(far, abs(m)), other))
-                node = near
-            out.append(-1 - node)
-            got += self.leaf_sizes[-1 - node]
+    def search(self, x: np.ndarray, wanted: float) -> np.ndarray:
+        """For each query, the priority of the last leaf that one queue over all trees gives until its leaves hold `wanted` sample vectors."""
+        left, right = self.children.T.tolist()
+        out = np.zeros(len(x))
+        for at in range(0, len(x), QUERIES):
+            for k, margin in enumerate((x[at : at + QUERIES] @ self.planes.T - self.cuts) if len(self.cuts) else np.empty((len(x), 0))):
+                margin = margin.tolist()
+                queue = [(0.0, root) for root in self.roots]
+                heapq.heapify(queue)
+                last, got = 0.0, 0
+                while queue and got < wanted:
+                    last, node = heapq.heappop(queue)
+                    while node >= 0:
+                        m = margin[node]
+                        heapq.heappush(queue, (last + m * m, left[node] if m >= 0 else right[node]))
+                        node = right[node] if m >= 0 else left[node]
+                    got += self.leaf_sizes[-1 - node]
+                out[at + k] = last
         return out
 
+    def priorities(self, x: np.ndarray) -> np.ndarray:
+        """[query, leaf]: the leaves' priorities."""
+        nodes, out = np.zeros((len(x), len(self.cuts))), np.zeros((len(x), len(self.leaf_sizes)))
+        margin = x @ self.planes.T - self.cuts if len(self.cuts) else nodes
+        for level in self.levels:
+            for side in (0, 1):
+                m = margin[:, level]
+                away = np.where((m < 0) if side else (m >= 0), m**2, 0.0)
+                child, value = self.children[level, side], nodes[:, level] + away
+                inner = child >= 0
+                nodes[:, child[inner]] = value[:, inner]
+                out[:, -1 - child[~inner]] = value[:, ~inner]
+        return out
 
-def compare_leaf(k: int, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """A block of a leaf's vectors against the queries that reached the leaf: each query's k nearest of them."""
-    rows = []
-    if len(own) and len(asked):
-        ids, x = own["vec_id"].to_numpy(), matrix(own["embedding"])
-        for q, v in zip(asked["vec_id"], asked["embedding"]):
-            other = np.flatnonzero(ids != q)
-            score = np.sqrt(((x[other] - np.asarray(v, np.float64)) ** 2).sum(axis=1))
-            at = best(ids[other], score, k, True)
-            rows.append((np.full(len(at), q), ids[other][at], score[at]))
-    columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
-
-
-def nearest(rows: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: float = SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (id divisible by `every`) its k nearest found, by Euclidean distance."""
-    spark = rows.sparkSession
-    own = vectors(rows, zero=False)
-    lengths = [r[0] for r in own.select(F.size("embedding")).distinct().collect()]
-    found = None
-    for length in lengths:
-        part = _nearest(spark, own.where(F.size("embedding") == length), k, every, sample, trees, leaf, search)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ranked(found.distinct(), k, True, "double")
-
-
-def _nearest(spark, own: DataFrame, k: int, every: int, sample: int, trees: int, leaf: int, search: float) -> DataFrame:
-    fitted = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
-    forest = Forest(matrix(fitted["embedding"]), trees, leaf)
-    shared = spark.sparkContext.broadcast((forest, search * len(fitted) * 1.0))
-
-    def index(it):
-        for pdf in it:
-            if len(pdf):
-                leaves = shared.value[0].leaves(matrix(pdf["embedding"]))
-                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), leaves.shape[1]), "embedding": pdf["embedding"].repeat(leaves.shape[1]), "leaf": leaves.ravel()})
-
-    def probe(it):
-        for pdf in it:
-            reached = [shared.value[0].search(np.asarray(v, np.float64), shared.value[1]) for v in pdf["embedding"]]
-            n = [len(x) for x in reached]
-            yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), n), "embedding": pdf["embedding"].repeat(n), "leaf": np.concatenate([np.array(x, np.int64) for x in reached]) if reached else []})
-
-    schema = f"vec_id long, embedding {own.schema['embedding'].dataType.simpleString()}, leaf long"
-    indexed = own.mapInPandas(index, schema)
-    asked = own.where(F.col("vec_id") % every == 0).mapInPandas(probe, schema)
-    # A leaf with many vectors is dealt over blocks by their ids, and its queries go to each block.
-    blocks = indexed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / LEAF_ROWS).cast("int").alias("blocks"))
-    indexed = indexed.join(blocks, "leaf").select("vec_id", "embedding", "leaf", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int").alias("block"))
-    each = blocks.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asked = asked.join(each, "leaf").select("vec_id", "embedding", "leaf", "block")
-    return indexed.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInPandas(partial(_compare, k), "query_id long, vec_id long, score double")
-
-
-def _compare(k: int, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    return compare_leaf(k, own, asked)
+
+class Forests(dict):
+    """Forests by length; a length without one has a tree of a single leaf."""
+
+    def __missing__(self, n: int) -> Forest:
+        return Forest(np.zeros((1, n)), 1)
+
+
+def probe_batches(batches: Iterator[pa.RecordBatch], forests: Forests, wanted: Callable[[int], float]) -> Iterator[pa.RecordBatch]:
+    """Queries with `until`, the priority up to which leaves are searched."""
+    for batch in batches:
+        until = np.zeros(batch.num_rows)
+        for n, _, x, own in by_length(batch.append_column("at", pa.array(np.arange(batch.num_rows)))):
+            until[own] = forests[n].search(x, wanted(n))
+        yield batch.append_column("until", pa.array(until))
+
+
+def candidates(forest: Forest, x: np.ndarray, queries: np.ndarray, until: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, indices of the vectors x in the leaves searched for it)."""
+    leaves = forest.leaves(x)
+    for at in range(0, len(queries), QUERIES):
+        part = slice(at, at + QUERIES)
+        # Here the same margins come from other products than in the queue's search.
+        for j, own in enumerate(forest.priorities(queries[part]) <= until[part, None] * (1 + 1e-9) + 1e-12):
+            yield at + j, np.flatnonzero(own[leaves].any(axis=1))
+
+
+def nearest_batches(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np.ndarray, ...]], forests: Forests, k: int) -> Iterator[pa.RecordBatch]:
+    """A task's k nearest candidates of each query."""
+    kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for whole in batches:
+        for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+            for n, ids, x in by_length(batch):
+                query_ids, queries, until = asked.get(n, (np.empty(0), np.empty((0, n)), np.empty(0)))
+                for q, near in candidates(forests[n], x, queries, until) if len(queries) else ():
+                    near = near[ids[near] != query_ids[q]]
+                    if not len(near):
+                        continue
+                    score, own = np.sqrt(((x[near] - queries[q]) ** 2).sum(axis=1)), ids[near]
+                    if (n, q) in kept:
+                        own, score = np.r_[kept[n, q][0], own], np.r_[kept[n, q][1], score]
+                    at = best(own, score, k, True)
+                    kept[n, q] = own[at], score[at]
+    yield as_batch([np.full(len(own), asked[n][0][q]) for (n, q), (own, _) in kept.items()], [own for own, _ in kept.values()], [score for _, score in kept.values()], np.float64)
+
+
+def nearest(rows: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, search: float = SEARCH, chunk: int = CHUNK_COMPONENTS) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query (id divisible by `every`) its k nearest found, by Euclidean distance.
+
+    The leaves searched for a query hold search * n ** POWER vectors, counted once a tree, of n in the table."""
+    own = written(vectors(rows, zero=False), "vectors")
+    n = max(own.count(), 1)
+    fitted = collected(own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample))
+    # The leaves hold that share of the sample's vectors, and hold k besides the query's own.
+    sizes = {length: max(search * n ** (POWER - 1) * len(x), trees * (k + 2)) for length, (_, x) in fitted.items()}
+    forests = rows.sparkSession.sparkContext.broadcast(Forests({length: Forest(x, trees, leaf) for length, (_, x) in fitted.items()}))
+    asked = own.where(F.col("vec_id") % every == 0)
+    probed = asked.mapInArrow(lambda it: probe_batches(it, forests.value, lambda length: sizes.get(length, 1)), asked.select("*", F.lit(0.0).alias("until")).schema)
+    found = against_all(own, written(probed, "queries"), lambda queries, it: nearest_batches(it, queries, forests.value, k), "double", chunk)
+    return ranked(found, k, True, "double")
 
 
 # ---------------------------------------------------------------- operator 9
 
 #: Numbers of segments, from coarse to fine.
 RESOLUTIONS = (1, 4, 16)
-#: Queries and candidates of a task.
-QUERY_ROWS, CANDIDATE_ROWS = 2_048, 8_192
-#: Candidates whose statistics are compared at once.
-CHUNK = 1_024
+#: Queries and candidates whose statistics are compared at once.
+QUERY_ROWS, CANDIDATE_ROWS = 2_048, 1_024
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -211,80 +276,79 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([np.stack([p.mean(axis=1) for p in parts], 1) * roots, np.stack([p.std(axis=1) for p in parts], 1) * roots], 1)
 
 
-def top_products(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, vec_id, product) of each query's k largest inner products with rows of other ids; integers.
+class TopProducts:
+    """The k largest inner products of each query with rows of other ids, all integers; rows come block by block.
 
-    q.v = (|q|^2 + |v|^2 - |q - v|^2) / 2, so that a lower bound of the distance bounds the product from above.
+    q.v = (|q|^2 + |v|^2 - |q - v|^2) / 2, so that a lower bound of the distance bounds the product from above. Once a
+    query has k rows, the least of their products is held against the bounds of further rows, from coarse to fine.
     """
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**52
-    whole = (lambda a: a.astype(np.float64)) if exact else (lambda a: a.astype(object))
-    q, v = queries.astype(np.float64), x.astype(np.float64)
-    q2, v2 = (q**2).sum(axis=1), (v**2).sum(axis=1)
-    levels = [(statistics(q, s), statistics(v, s)) for s in RESOLUTIONS]
-    kept_ids, kept = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -np.inf if exact else None, float if exact else object)
-    least = np.full(len(q), -np.inf)
-    filled = np.zeros(len(q), np.int64)
-    wq, wx = whole(queries), whole(x)
-    for at in range(0, len(x), CHUNK):
-        own = slice(at, min(at + CHUNK, len(x)))
-        row, column = np.nonzero(query_ids[:, None] != ids[None, own])
-        slack = 1e-9 * (q2.max(initial=0) + v2[own].max(initial=0) + 1)
-        for fq, fv in levels:
-            if filled.min(initial=k) < k:
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.q = queries.astype(np.float64)
+        self.q2, self.levels = (self.q**2).sum(axis=1), [statistics(self.q, s) for s in RESOLUTIONS]
+        self.largest = float(np.abs(queries).max(initial=0))
+        self.kept = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+        self.least = np.full(len(ids), -np.inf)
+
+    def survivors(self, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the pairs that no bound rules out."""
+        row, column = np.nonzero(self.ids[:, None] != ids[None, :])
+        v2 = (v**2).sum(axis=1)
+        slack = 1e-9 * (self.q2.max(initial=0) + v2.max(initial=0) + 1)
+        for s, a in zip(RESOLUTIONS, self.levels):
+            if not np.isfinite(self.least).any():
                 break
-            a, b = fq, fv[own]
-            if len(row) * 4 > len(q) * (own.stop - own.start):
-                bound = ((q2[:, None] + v2[own][None, :]) - ((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T)) / 2
-                stay = bound[row, column] + slack >= least[row]
+            b = statistics(v, s)
+            if len(row) * 4 > len(a) * len(b):
+                bound = ((self.q2[:, None] + v2[None, :]) - ((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T)) / 2
+                stay = bound[row, column] + slack >= self.least[row]
             else:
-                stay = (q2[row] + v2[own][column] - ((a[row] - b[column]) ** 2).sum(axis=1)) / 2 + slack >= least[row]
+                stay = (self.q2[row] + v2[column] - ((a[row] - b[column]) ** 2).sum(axis=1)) / 2 + slack >= self.least[row]
             row, column = row[stay], column[stay]
+        return row, column
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        row, column = self.survivors(ids, x.astype(np.float64))
         if not len(row):
-            continue
-        if exact and len(row) * 8 > len(q) * (own.stop - own.start):
-            product = (wq @ wx[own].T)[row, column]
+            return
+        exact = self.largest * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**52
+        wq, wx = (a.astype(np.float64 if exact else object) for a in (self.queries, x))
+        if exact and len(row) * 8 > len(wq) * len(wx):
+            product = (wq @ wx.T)[row, column]
         else:
-            product = np.concatenate([(wq[row[p : p + 65_536]] * wx[own][column[p : p + 65_536]]).sum(axis=1) for p in range(0, len(row), 65_536)])
-        bounds = np.searchsorted(row, np.arange(len(q) + 1))
-        for r in np.unique(row):
+            product = np.concatenate([(wq[row[p : p + 65_536]] * wx[column[p : p + 65_536]]).sum(axis=1) for p in range(0, len(row), 65_536)])
+        bounds = np.searchsorted(row, np.arange(len(wq) + 1))
+        for r in np.unique(row).tolist():
             part = slice(bounds[r], bounds[r + 1])
-            all_ids, scores = np.r_[kept_ids[r, : filled[r]], ids[own][column[part]]], np.r_[kept[r, : filled[r]], product[part]]
-            pick = best(all_ids, scores, k, False) if exact else np.array(sorted(range(len(scores)), key=lambda j: (-scores[j], all_ids[j]))[:k])
-            filled[r] = len(pick)
-            kept_ids[r, : len(pick)], kept[r, : len(pick)] = all_ids[pick], scores[pick]
-            if filled[r] == k:
-                least[r] = float(kept[r, k - 1])
-    row = np.repeat(np.arange(len(q)), filled)
-    column = np.concatenate([np.arange(n) for n in filled]) if len(filled) else np.empty(0, np.int64)
-    return row, kept_ids[row, column], kept[row, column]
-
-
-def _products(k: int, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """A block of candidates against a block of queries, vectors of one length at a time."""
-    out = []
-    if len(own) and len(asked):
-        of, to = own["embedding"].map(len), asked["embedding"].map(len)
-        for n in set(of) & set(to):
-            v, q = own[of == n], asked[to == n]
-            ids, x = v["vec_id"].to_numpy(), np.floor(256 * matrix(v["embedding"])).astype(np.int64)
-            query_ids, y = q["vec_id"].to_numpy(), np.floor(256 * matrix(q["embedding"])).astype(np.int64)
-            row, found, score = top_products(y, query_ids, x, ids, k)
-            out.append(pd.DataFrame({"query_id": query_ids[row], "vec_id": found, "score": score.astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
-
-
-def top_k(rows: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+            own, score = np.r_[self.kept[r][0], ids[column[part]]], np.r_[self.kept[r][1], product[part]]
+            pick = best(own, score, self.k, False) if score.dtype != object else np.array(sorted(range(len(score)), key=lambda j: (-score[j], own[j]))[: self.k])
+            self.kept[r] = own[pick], score[pick]
+            if len(pick) == self.k:
+                self.least[r] = float(score[pick[-1]])
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    return np.floor(256 * x).astype(np.int64)
+
+
+def product_batches(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np.ndarray, ...]], k: int) -> Iterator[pa.RecordBatch]:
+    """A task's k largest products of each query."""
+    parts = {n: [TopProducts(ids[at : at + QUERY_ROWS], whole(x[at : at + QUERY_ROWS]), k) for at in range(0, len(ids), QUERY_ROWS)] for n, (ids, x) in asked.items()}
+    for rows in batches:
+        for batch in (rows.slice(at, CANDIDATE_ROWS) for at in range(0, rows.num_rows, CANDIDATE_ROWS)):
+            for n, ids, x in by_length(batch):
+                for own in parts.get(n, ()):
+                    own.add(ids, whole(x))
+    found = [(q, *kept) for own in sum(parts.values(), []) for q, kept in zip(own.ids, own.kept)]
+    yield as_batch([np.full(len(ids), q) for q, ids, _ in found], [ids for _, ids, _ in found], [score for _, _, score in found], np.int64)
+
+
+def top_k(rows: DataFrame, k: int = 5, every: int = 50, chunk: int = CHUNK_COMPONENTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (id divisible by `every`) its k largest integer inner products.
 
-    Components count as floor(256 x). Candidates and queries are dealt over blocks, and each pair of blocks is a
-    task of bounded size; what leaves it is k rows a query.
+    Components count as floor(256 x). What leaves a task is k rows a query.
     """
-    own = checkpointed(vectors(rows, zero=True))
-    asked = own.where(F.col("vec_id") % every == 0)
-    candidate_blocks, query_blocks = n_parts(own.count(), CANDIDATE_ROWS), n_parts(asked.count(), QUERY_ROWS)
-    block = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = own.withColumn("of", block(candidate_blocks)).withColumn("to", each(query_blocks))
-    asked = asked.withColumn("to", block(query_blocks)).withColumn("of", each(candidate_blocks))
-    found = own.groupBy("of", "to").cogroup(asked.groupBy("of", "to")).applyInPandas(partial(_products, k), "query_id long, vec_id long, score long")
+    own = written(vectors(rows, zero=True), "vectors")
+    found = against_all(own, own.where(F.col("vec_id") % every == 0), lambda queries, it: product_batches(it, queries, k), "long", chunk)
     return ranked(found, k, False, "long")

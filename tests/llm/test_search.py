@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from cavern.llm import search
 
@@ -20,10 +21,10 @@ def plain(vectors, queries, k, score, nearest):
     return sorted(out)
 
 
-def test_whole_search_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(search, "LEAF_ROWS", 20)
+@pytest.mark.parametrize("chunk", [10**6, 9])
+def test_whole_search_is_exact(spark, chunk):
     x, df = frame(spark)
-    got = search.nearest(df, k=10, every=100, leaf=32, search=1e9).collect()
+    got = search.nearest(df, k=10, every=100, trees=3, search=1e9, chunk=chunk).collect()
     vectors = {i: v.astype(float) for i, v in enumerate(x)} | {9300: np.array([1.0, 2.0]), 9400: np.array([1.0, 2.5])}
     want = plain(vectors, [0, 100, 200, 300, 9300, 9400], 10, lambda a, b: np.sqrt(((a - b) ** 2).sum()), True)
     assert [r[:3] for r in sorted(tuple(r) for r in got)] == [r[:3] for r in want]
@@ -46,22 +47,43 @@ def test_recall_of_the_forest(spark):
     assert hits / total >= 0.9
 
 
-def test_products_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_ROWS", 5)
-    monkeypatch.setattr(search, "CANDIDATE_ROWS", 90)
-    monkeypatch.setattr(search, "CHUNK", 16)
+@pytest.mark.parametrize("chunk", [10**6, 9])
+def test_products_equal_brute_force(spark, chunk):
     x, df = frame(spark)
     vectors = {i: np.floor(256 * v.astype(float)).astype(int) for i, v in enumerate(x)} | {9200: np.zeros(8, int), 9300: np.array([256, 512]), 9400: np.array([256, 640])}
     want = plain(vectors, [q for q in vectors if q % 50 == 0], 5, lambda a, b: int(a @ b), False)
-    assert sorted(tuple(r) for r in search.top_k(df).collect()) == want
+    assert sorted(tuple(r) for r in search.top_k(df, chunk=chunk).collect()) == want
     assert search.top_k(df.limit(0)).count() == 0
 
 
-def test_large_integers_stay_exact():
-    q = np.array([[2**29, 2**29 + 1]])
-    x = np.array([[2**29, 1], [2**29, 2], [-(2**29), 7]])
-    row, ids, score = search.top_products(q, np.array([5]), x, np.array([1, 2, 3]), 2)
+def test_blocks_and_large_integers():
+    q, x = np.array([[2**29, 2**29 + 1]]), np.array([[2**29, 1], [2**29, 2], [-(2**29), 7]])
+    own = search.TopProducts(np.array([5]), q, 2)
+    for k in range(3):
+        own.add(np.array([k + 1]), x[k : k + 1])
+    ids, score = own.kept[0]
     assert ids.tolist() == [2, 1] and [int(s) for s in score] == [2**58 + 2 * (2**29 + 1), 2**58 + 2**29 + 1]
+    r = np.random.default_rng(4)
+    q, x = r.integers(-99, 99, (7, 32)), r.integers(-99, 99, (300, 32))
+    own = search.TopProducts(np.arange(7), q, 4)
+    for at in range(0, 300, 50):
+        own.add(np.arange(at, at + 50), x[at : at + 50])
+    for k in range(7):
+        want = sorted((-int(v @ q[k]), i) for i, v in enumerate(x) if i != k)[:4]
+        assert [(-int(s), i) for i, s in zip(*own.kept[k])] == want
+
+
+def test_priorities_are_the_queues():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(500, 6))
+    x[50:120] = x[0]
+    forest = search.Forest(x, trees=3, leaf=8)
+    sizes = np.array(forest.leaf_sizes)
+    for wanted in (1, 100, 900):
+        for until, own in zip(forest.search(x[:70], wanted), forest.priorities(x[:70])):
+            assert sizes[own <= until + 1e-9].sum() >= wanted and sizes[own < until - 1e-9].sum() < wanted
+    leaves = forest.leaves(x)
+    assert [np.bincount(leaves[:, t], minlength=len(forest.leaf_sizes)).sum() for t in range(3)] == [500] * 3
 
 
 def test_statistics_bound_distances():
