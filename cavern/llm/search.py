@@ -24,8 +24,8 @@ from .common import n_parts, written
 
 # ---------------------------------------------------------------- shared
 
-#: Components of the queries that are broadcast at once (16 MB).
-CHUNK_COMPONENTS = 2_000_000
+#: Numbers that the queries broadcast at once hold: components, and leaves (at most 32 MB).
+CHUNK_COMPONENTS = 4_000_000
 #: Rows of a table that a task takes in one round.
 ROWS = 8_192
 
@@ -80,7 +80,7 @@ def against_all(own: DataFrame, asked: DataFrame, search: Callable, kind: str, c
     """(query_id, vec_id, score): what search(queries, batches) finds in the tasks, over all chunks of queries."""
     spark = own.sparkSession
     schema = f"query_id long, vec_id long, score {kind}"
-    size = asked.agg(F.sum(F.size("embedding") + 1)).first()[0] or 0
+    size = asked.agg(F.sum(F.size("embedding") + (F.size("leaves") if "leaves" in asked.columns else F.lit(0)) + 1)).first()[0] or 0
     chunks = n_parts(size, chunk)
     found = None
     for k in range(chunks if size else 0):
@@ -104,25 +104,25 @@ SAMPLE = 20_000
 TREES, LEAF = 32, 16
 #: Vectors that the leaves searched for a query hold, counted once a tree: so many times the table's number to a power.
 SEARCH, POWER = 6.0, 0.75
-#: Queries whose leaves a task looks up at once.
+#: Queries whose leaves a task looks up at once: one for each bit of a word.
 QUERIES = 64
 
 
 class Forest:
     """Random-projection trees fitted on a sample; a node splits at the median of a projection.
 
-    Nodes are numbered over all trees and listed by depth; a leaf's number is -1 - its index. A leaf's priority is the
-    sum of the squared margins by which a query lies on the other side on the way down.
+    Nodes are numbered over all trees; a leaf's number is -1 - its index. A leaf's priority is the sum of the squared
+    margins by which a query lies on the other side on the way down.
     """
 
     def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
         rng = np.random.default_rng(seed)
-        planes, cuts, children, self.roots, sizes, depths = [], [], [], [], [], []
+        planes, cuts, children, self.roots, sizes = [], [], [], [], []
         for _ in range(trees):
             self.roots.append(0)
-            todo = [(np.arange(len(sample)), -1 - trees, len(self.roots) - 1, 0)]
+            todo = [(np.arange(len(sample)), -1, len(self.roots) - 1)]
             while todo:
-                rows, parent, side, depth = todo.pop()
+                rows, parent, side = todo.pop()
                 here = None
                 if len(rows) > leaf:
                     a, b = rng.choice(len(rows), 2, replace=False)
@@ -137,8 +137,7 @@ class Forest:
                         planes.append(plane)
                         cuts.append(cut)
                         children.append([0, 0])
-                        depths.append(depth)
-                        todo += [(rows[left], here, 0, depth + 1), (rows[~left], here, 1, depth + 1)]
+                        todo += [(rows[left], here, 0), (rows[~left], here, 1)]
                 if here is None:
                     here = -1 - len(sizes)
                     sizes.append(len(rows))
@@ -148,8 +147,6 @@ class Forest:
                     children[parent][side] = here
         self.planes = np.array(planes).reshape(-1, sample.shape[1])
         self.cuts, self.children, self.leaf_sizes = np.array(cuts), np.array(children, np.int64).reshape(-1, 2), sizes
-        order = np.argsort(depths, kind="stable")
-        self.levels = np.split(order, np.flatnonzero(np.diff(np.array(depths)[order])) + 1) if depths else []
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree."""
@@ -165,38 +162,26 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
-    def search(self, x: np.ndarray, wanted: float) -> np.ndarray:
-        """For each query, the priority of the last leaf that one queue over all trees gives until its leaves hold `wanted` sample vectors."""
+    def search(self, x: np.ndarray, wanted: float) -> list[np.ndarray]:
+        """For each query, the leaves that one queue over all trees gives, until they hold `wanted` sample vectors."""
         left, right = self.children.T.tolist()
-        out = np.zeros(len(x))
+        out = []
         for at in range(0, len(x), QUERIES):
-            for k, margin in enumerate((x[at : at + QUERIES] @ self.planes.T - self.cuts) if len(self.cuts) else np.empty((len(x), 0))):
+            own = x[at : at + QUERIES]
+            for margin in own @ self.planes.T - self.cuts if len(self.cuts) else np.empty((len(own), 0)):
                 margin = margin.tolist()
                 queue = [(0.0, root) for root in self.roots]
                 heapq.heapify(queue)
-                last, got = 0.0, 0
+                found, got = [], 0
                 while queue and got < wanted:
-                    last, node = heapq.heappop(queue)
+                    far, node = heapq.heappop(queue)
                     while node >= 0:
                         m = margin[node]
-                        heapq.heappush(queue, (last + m * m, left[node] if m >= 0 else right[node]))
+                        heapq.heappush(queue, (far + m * m, left[node] if m >= 0 else right[node]))
                         node = right[node] if m >= 0 else left[node]
+                    found.append(-1 - node)
                     got += self.leaf_sizes[-1 - node]
-                out[at + k] = last
-        return out
-
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """[query, leaf]: the leaves' priorities."""
-        nodes, out = np.zeros((len(x), len(self.cuts))), np.zeros((len(x), len(self.leaf_sizes)))
-        margin = x @ self.planes.T - self.cuts if len(self.cuts) else nodes
-        for level in self.levels:
-            for side in (0, 1):
-                m = margin[:, level]
-                away = np.where((m < 0) if side else (m >= 0), m**2, 0.0)
-                child, value = self.children[level, side], nodes[:, level] + away
-                inner = child >= 0
-                nodes[:, child[inner]] = value[:, inner]
-                out[:, -1 - child[~inner]] = value[:, ~inner]
+                out.append(np.array(found, np.int32))
         return out
 
 
@@ -208,22 +193,33 @@ class Forests(dict):
 
 
 def probe_batches(batches: Iterator[pa.RecordBatch], forests: Forests, wanted: Callable[[int], float]) -> Iterator[pa.RecordBatch]:
-    """Queries with `until`, the priority up to which leaves are searched."""
+    """Queries with the leaves that are searched for them."""
     for batch in batches:
-        until = np.zeros(batch.num_rows)
+        found: list = [None] * batch.num_rows
         for n, _, x, own in by_length(batch.append_column("at", pa.array(np.arange(batch.num_rows)))):
-            until[own] = forests[n].search(x, wanted(n))
-        yield batch.append_column("until", pa.array(until))
+            for k, leaves in zip(own.tolist(), forests[n].search(x, wanted(n))):
+                found[k] = leaves
+        yield batch.append_column("leaves", pa.array(found, pa.list_(pa.int32())))
+
+
+def candidates(leaves: np.ndarray, number: int, searched: list[np.ndarray]) -> np.ndarray:
+    """For vectors in the leaves [vector, tree], as many bits as queries: those for which one of its leaves is searched."""
+    bits = np.zeros(number, np.uint64)
+    for j, own in enumerate(searched):
+        bits[own] |= np.uint64(1 << j)
+    out = np.zeros(len(leaves), np.uint64)
+    for tree in leaves.T:
+        out |= bits[tree]
+    return out
 
 
-def candidates(forest: Forest, x: np.ndarray, queries: np.ndarray, until: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, indices of the vectors x in the leaves searched for it)."""
-    leaves = forest.leaves(x)
-    for at in range(0, len(queries), QUERIES):
-        part = slice(at, at + QUERIES)
-        # Here the same margins come from other products than in the queue's search.
-        for j, own in enumerate(forest.priorities(queries[part]) <= until[part, None] * (1 + 1e-9) + 1e-12):
-            yield at + j, np.flatnonzero(own[leaves].any(axis=1))
+def k_nearest(ids: np.ndarray, x: np.ndarray, near: np.ndarray, rough: np.ndarray, slack: float, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """vec_id and exact distance of the k nearest of the vectors x[near], by squared distances `rough` that are off by the slack at most."""
+    if len(near) > k:
+        near = near[rough[near] <= np.partition(rough[near], k - 1)[k - 1] + slack]
+    score, own = np.sqrt(((x[near] - query) ** 2).sum(axis=1)), ids[near]
+    at = best(own, score, k, True)
+    return own[at], score[at]
 
 
 def nearest_batches(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np.ndarray, ...]], forests: Forests, k: int) -> Iterator[pa.RecordBatch]:
@@ -232,16 +228,25 @@ def nearest_batches(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np
     for whole in batches:
         for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
             for n, ids, x in by_length(batch):
-                query_ids, queries, until = asked.get(n, (np.empty(0), np.empty((0, n)), np.empty(0)))
-                for q, near in candidates(forests[n], x, queries, until) if len(queries) else ():
-                    near = near[ids[near] != query_ids[q]]
-                    if not len(near):
-                        continue
-                    score, own = np.sqrt(((x[near] - queries[q]) ** 2).sum(axis=1)), ids[near]
-                    if (n, q) in kept:
-                        own, score = np.r_[kept[n, q][0], own], np.r_[kept[n, q][1], score]
-                    at = best(own, score, k, True)
-                    kept[n, q] = own[at], score[at]
+                if n not in asked:
+                    continue
+                query_ids, queries, searched = asked[n]
+                leaves, x2 = forests[n].leaves(x), (x**2).sum(axis=1)
+                for at in range(0, len(queries), QUERIES):
+                    part = slice(at, at + QUERIES)
+                    bits = candidates(leaves, len(forests[n].leaf_sizes), searched[part])
+                    q2 = (queries[part] ** 2).sum(axis=1)
+                    rough = x2 + q2[:, None] - 2 * (queries[part] @ x.T)
+                    for j, q in enumerate(range(at, at + len(q2))):
+                        near = np.flatnonzero((bits >> np.uint64(j) & np.uint64(1)).astype(bool) & (ids != query_ids[q]))
+                        if not len(near):
+                            continue
+                        own, score = k_nearest(ids, x, near, rough[j], 1e-9 * (q2[j] + x2.max()), queries[q], k)
+                        if (n, q) in kept:
+                            own, score = np.r_[kept[n, q][0], own], np.r_[kept[n, q][1], score]
+                            first = best(own, score, k, True)
+                            own, score = own[first], score[first]
+                        kept[n, q] = own, score
     yield as_batch([np.full(len(own), asked[n][0][q]) for (n, q), (own, _) in kept.items()], [own for own, _ in kept.values()], [score for _, score in kept.values()], np.float64)
 
 
@@ -256,7 +261,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE
     sizes = {length: max(search * n ** (POWER - 1) * len(x), trees * (k + 2)) for length, (_, x) in fitted.items()}
     forests = rows.sparkSession.sparkContext.broadcast(Forests({length: Forest(x, trees, leaf) for length, (_, x) in fitted.items()}))
     asked = own.where(F.col("vec_id") % every == 0)
-    probed = asked.mapInArrow(lambda it: probe_batches(it, forests.value, lambda length: sizes.get(length, 1)), asked.select("*", F.lit(0.0).alias("until")).schema)
+    probed = asked.mapInArrow(lambda it: probe_batches(it, forests.value, lambda length: sizes.get(length, 1)), asked.select("*", F.array().cast("array<int>").alias("leaves")).schema)
     found = against_all(own, written(probed, "queries"), lambda queries, it: nearest_batches(it, queries, forests.value, k), "double", chunk)
     return ranked(found, k, True, "double")
 

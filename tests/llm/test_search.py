@@ -73,17 +73,30 @@ def test_blocks_and_large_integers():
         assert [(-int(s), i) for i, s in zip(*own.kept[k])] == want
 
 
-def test_priorities_are_the_queues():
+def test_one_queue_over_all_trees():
     r = np.random.default_rng(6)
     x = r.normal(size=(500, 6))
     x[50:120] = x[0]
     forest = search.Forest(x, trees=3, leaf=8)
-    sizes = np.array(forest.leaf_sizes)
+
+    def priorities(v):
+        out, todo = {}, [(root, 0.0) for root in forest.roots]
+        while todo:
+            node, far = todo.pop()
+            if node < 0:
+                out[-1 - node] = far
+                continue
+            m = forest.planes[node] @ v - forest.cuts[node]
+            todo += [(forest.children[node, side], far + (m * m if side != (m >= 0) else 0)) for side in (0, 1)]
+        return out
+
     for wanted in (1, 100, 900):
-        for until, own in zip(forest.search(x[:70], wanted), forest.priorities(x[:70])):
-            assert sizes[own <= until + 1e-9].sum() >= wanted and sizes[own < until - 1e-9].sum() < wanted
-    leaves = forest.leaves(x)
-    assert [np.bincount(leaves[:, t], minlength=len(forest.leaf_sizes)).sum() for t in range(3)] == [500] * 3
+        for v, found in zip(x[:70], forest.search(x[:70], wanted)):
+            own = priorities(v)
+            held = [forest.leaf_sizes[k] for k in found.tolist()]
+            assert sum(held) >= wanted > sum(held[:-1]) and len(set(found.tolist())) == len(found)
+            assert max(own[k] for k in found.tolist()) <= min([p for k, p in own.items() if k not in found] or [np.inf]) + 1e-9
+    assert forest.leaves(x).shape == (500, 3)
 
 
 def test_statistics_bound_distances():
