@@ -71,11 +71,11 @@ class CombinatorialNumberSystem:
 
 
 def binomial(v: Column, k: int) -> Column:
-    """C(v, k) as a long, exact while v (v-1) ... (v-k+1) fits 64 bits."""
+    """C(v, k) as a long, exact while k times it fits 64 bits: each factor is divided away before the next."""
     out = F.lit(1).cast("long")
     for d in range(k):
-        out = out * (v.cast("long") - d)
-    return F.call_function("div", out, F.lit(math.factorial(k)).cast("long"))
+        out = F.call_function("div", out * (v.cast("long") - d), F.lit(d + 1).cast("long"))
+    return out
 
 
 def index_of(vertices: Sequence[Column]) -> Column:

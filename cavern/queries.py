@@ -14,7 +14,7 @@ from .functions.influence import Gaussian
 from .operators import filtration as fl
 from .operators import incidence as inc
 from .operators.cns import CombinatorialNumberSystem
-from .operators.homology import pairs_of_dim0, persistence_of, spanning_forest
+from .operators.homology import compute_persistent_homology, forest, pairs_of_dim0, persistence_of, spanning_forest
 from .operators.image import finite_points, gaussian_image, persistence_image, resolve_bounds
 from .plans.model import BoundsConfig, is_finite, is_infinite, persistence
 
@@ -56,7 +56,7 @@ def edges_threshold(spark, d):
 
 
 def enclosing_radius(spark, d):
-    return fl.farthest_table(fl.edges(vector_points(spark, d), None, DISTANCE, "float64")).agg(F.min("far").alias("radius"))
+    return spark.createDataFrame([(fl.enclosing_radius(vector_points(spark, d), DISTANCE, "float64"),)], "radius double")
 
 
 def custom_distance_manhattan(spark, d):
@@ -134,7 +134,7 @@ def clearing_d1(spark, d):
 def h0_pairs(spark, d):
     """Over all vectors."""
     points = vector_points(spark, d)
-    return pairs_of_dim0(points, spanning_forest(fl.edges(points, None, DISTANCE, "float64")))
+    return pairs_of_dim0(points, spanning_forest(fl.edges(points, None, DISTANCE, "float64", thin=forest)))
 
 
 def _pairs(spark, d, max_dim, threshold=None):

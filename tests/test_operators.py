@@ -68,7 +68,7 @@ def test_columns_and_apparent_pairs():
     f = own([[0, 0], [1, 0], [0, 1]], 2)
     assert sorted(columns_of(f, np.arange(3), 1)["index"]) == [0, 1] and columns_of(f, np.array([0, 2]), 1)["index"].tolist() == [0]
     flat = own([[0, 0.1], [-0.5, 0], [0.5, 0]], 2)
-    assert columns_of(flat, np.arange(3), 1)["index"].tolist() == [0, 1] and flat.apparent_birth(0, float(flat.radius(np.array([[2, 1, 0]]))[0]), 1) == 2
+    assert columns_of(flat, np.arange(3), 1)["index"].tolist() == [0, 1] and flat.apparent_birth(0, float(flat.every.radius(np.array([[2, 1, 0]]))[0]), 1) == 2
     assert columns_of(f, np.empty(0, np.int64), 1).empty
 
 
