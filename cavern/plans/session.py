@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 from typing import Any
 
@@ -42,3 +43,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once to the folder that all executors share, so that lost executors cost no lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that is read again; it is removed when the session's JVM ends."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path

@@ -17,6 +17,8 @@ from .operators.cns import CombinatorialNumberSystem
 from .operators.homology import compute_persistent_homology, forest, pairs_of_dim0, persistence_of, spanning_forest
 from .operators.image import finite_points, gaussian_image, persistence_image, resolve_bounds
 from .plans.model import BoundsConfig, is_finite, is_infinite, persistence
+from .plans.session import passing_folder
+from .sources import clouds
 
 #: Distances are rounded, so that ties are the same in both engines.
 DISTANCE = rounded(euclidean("float64"), 6)
@@ -43,6 +45,23 @@ def label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.points_table(rows.groupBy("label").agg(mean.alias("coords")), "coords", "label")
 
 
+def axis_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three octahedra: of coordinates 1-3, 4-6 and 7-9 of every vector, in millionths, the mean of the vectors whose
+    largest coordinate is the same and of one sign, brought to length one. Ids are by octahedron, axis and sign."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    whole = F.transform(F.slice("embedding", 1, 9), lambda x: F.round(x.cast("double") * 1000000).cast("long"))
+    thirds = F.array(*(F.struct(F.lit(k).alias("third"), *(F.get("whole", F.lit(3 * k + j)).alias(c) for j, c in enumerate("xyz"))) for k in range(3)))
+    rows = rows.select(whole.alias("whole")).select(F.inline(thirds))
+    largest = F.greatest(*(F.abs(c) for c in "xyz"))
+    axis = F.when(F.abs("x") == largest, 0).when(F.abs("y") == largest, 1).otherwise(2)
+    sign = F.when(axis == 0, F.col("x")).when(axis == 1, F.col("y")).otherwise(F.col("z")) > 0
+    sums = rows.groupBy("third", axis.alias("axis"), sign.alias("sign")).agg(*(F.sum(c).cast("double").alias(c) for c in "xyz"))
+    length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    coords = F.array(F.col("x") / length + 4 * F.col("third"), F.col("y") / length, F.col("z") / length)
+    place = F.col("third") * 6 + F.col("axis") * 2 + F.col("sign").cast("int")
+    return fl.points_table(sums.select(place.alias("place"), coords.alias("coords")), "coords", "place")
+
+
 def nation_edges(spark: SparkSession, sf_dir: str, threshold: float | None = None, distance: Distance = DISTANCE) -> DataFrame:
     return fl.edges(nation_points(spark, sf_dir), threshold, distance, "float64")
 
@@ -158,8 +177,62 @@ def h2_pairs(spark, d):
     return persistence_of(label_points(spark, d), 2, DISTANCE, None, "float64").dim(2)
 
 
-def h2_pairs_nations(spark, d):
-    return _pairs(spark, d, 2).dim(2)
+def h2_pairs_axes(spark, d):
+    """A class of dimension 2 in each octahedron."""
+    return persistence_of(axis_points(spark, d), 2, DISTANCE, None, "float64").dim(2)
+
+
+def persistent_homology_nations(spark, d):
+    """The public entry point on a table of one's own columns, all dimensions."""
+    points = nation_points(spark, d).select(F.col("coords").alias("place"), F.col("point_id").alias("nation"))
+    return compute_persistent_homology(points, 1, DISTANCE, None, "place", "nation", "float64").pairs
+
+
+def edges_float32(spark, d):
+    """The default precision: squares summed in float32, one after the other."""
+    return fl.edges(vector_points(spark, d), THRESHOLD).select("a", "b", F.col("w").cast("double").alias("w"))
+
+
+def cofacets_threshold(spark, d):
+    edge_table = nation_edges(spark, d, NATION_THRESHOLD)
+    return inc.incidences(fl.simplices(edge_table, 1), fl.simplices(edge_table, 2), 1)
+
+
+def _cloud_rows(cloud):
+    return cloud.select(F.col("id"), F.posexplode("coords").alias("k", "x")).select("id", "k", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+def cloud_from_parquet(spark, d):
+    return _cloud_rows(clouds.from_parquet(spark, f"{d}/embeddings.parquet", "vec_id", "embedding"))
+
+
+def points_text_round_trip(spark, d):
+    """The nations' points written as text and read as CSV."""
+    path = passing_folder(spark, "points")
+    clouds.write_points_text(nation_points(spark, d).orderBy("point_id"), path)
+    return _cloud_rows(clouds.read_points_csv(spark, path))
+
+
+def pairs_csv_round_trip(spark, d):
+    """The nations' pairs under a threshold, written as CSV and read again."""
+    path = passing_folder(spark, "pairs")
+    clouds.write_pairs_csv(_pairs(spark, d, 0, NATION_THRESHOLD).pairs, 0, path)
+    return clouds.read_pairs_csv(spark, f"{path}/dim_0", 0, header=True)
+
+
+def generated_clouds(spark, d):
+    """For each generated manifold the number of its points, and of those within the noise of it."""
+    x = [F.get("coords", F.lit(k)).cast("double") for k in range(11)]
+    root = lambda *c: F.sqrt(sum((v * v for v in c), F.lit(0.0)))
+    ring = root(root(x[0], x[1]) - 2, x[2])
+    each = [
+        ("torus2", clouds.torus2(spark, 2000), F.abs(ring - 1) < 0.1),
+        ("torus3", clouds.torus3(spark, 1000), (F.abs(root(x[0], x[1]) - 1) < 0.1) & (F.abs(root(x[2], x[3]) - 1) < 0.1) & (F.abs(root(x[4], x[5]) - 1) < 0.1) & (F.size("coords") == 100)),
+        ("sphere", clouds.sphere(spark, 1000), (F.abs(root(*x) - 1) < 0.1) & (F.size("coords") == 100)),
+        ("uniform", clouds.uniform(spark, 500, 8, seed=1), F.forall("coords", lambda c: (c >= 0) & (c < 1000)) & (F.size("coords") == 8)),
+    ]
+    found = [cloud.agg(F.lit(name).alias("name"), F.countDistinct("id").alias("points"), F.count_if(inside).alias("inside")) for name, cloud, inside in each]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 def pairs_persistence(spark, d):
@@ -205,7 +278,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         pairwise_distance, edges_threshold, enclosing_radius, custom_distance_manhattan, triangles, triangles_threshold, tetrahedra, simplex_decode, facets, cofacets, coboundary_pivot,
-        apparent_pairs_d1, apparent_pairs_d2, pivot_chunk_histogram, partition_boundaries, clearing_d1, h0_pairs, h0_pairs_nations, h1_pairs, h1_pairs_threshold, h2_pairs, h2_pairs_nations,
+        apparent_pairs_d1, apparent_pairs_d2, pivot_chunk_histogram, partition_boundaries, clearing_d1, h0_pairs, h0_pairs_nations, h1_pairs, h1_pairs_threshold, h2_pairs, h2_pairs_axes, persistent_homology_nations,
+        edges_float32, cofacets_threshold, cloud_from_parquet, points_text_round_trip, pairs_csv_round_trip, generated_clouds,
         pairs_persistence, image_bounds, image_gaussian_iso, image_gaussian_aniso, image_custom_weight, image_gaussian_exact,
     )
 }
@@ -225,6 +299,18 @@ e AS (
   SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS w
   FROM pts a JOIN pts b ON a.id > b.id
 )"""
+AXES = """
+x AS (SELECT list_transform(embedding[1:9], lambda c: CAST(round(CAST(c AS DOUBLE) * 1000000) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+t AS (SELECT k AS third, v[3 * k + 1] AS x, v[3 * k + 2] AS y, v[3 * k + 3] AS z, greatest(abs(v[3 * k + 1]), abs(v[3 * k + 2]), abs(v[3 * k + 3])) AS m FROM x, range(3) r(k)),
+s AS (SELECT third, CASE WHEN abs(x) = m THEN 0 WHEN abs(y) = m THEN 1 ELSE 2 END AS axis, x, y, z FROM t),
+g AS (
+  SELECT third, axis, CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END > 0 AS sign, CAST(sum(x) AS DOUBLE) AS x, CAST(sum(y) AS DOUBLE) AS y, CAST(sum(z) AS DOUBLE) AS z FROM s GROUP BY ALL
+),
+u AS (SELECT third, axis, sign, x, y, z, sqrt(x * x + y * y + z * z) AS l FROM g),
+pts AS (SELECT CAST(row_number() OVER (ORDER BY third, axis, sign) - 1 AS INTEGER) AS id, x / l + 4 * third AS x, y / l AS y, z / l AS z FROM u),
+e AS (
+  SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS w FROM pts a JOIN pts b ON a.id > b.id
+)"""
 LABELS = """
 m AS (SELECT label, k, avg(CAST(embedding[k] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(k) GROUP BY label, k),
 pts AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS id, list(x ORDER BY k) AS v FROM m GROUP BY label),
@@ -346,6 +432,17 @@ SQL = {
 UNION ALL SELECT CAST(1 AS INTEGER), radius, 'inf'::DOUBLE FROM ed WHERE index NOT IN (SELECT index FROM born) AND index NOT IN (SELECT {EDGE_INDEX.format(a='a', b='b')} FROM forest)""",
     "h2_pairs": f"""WITH RECURSIVE {LABELS}, {_radius_of('')}, {_triangles('f')}, {_tetrahedra('f')}, {_reduction('tri', 'tet', 3)}
 SELECT CAST(2 AS INTEGER) AS dim, radius AS birth, death FROM born WHERE radius <> death""",
+    "h2_pairs_axes": f"""WITH RECURSIVE {AXES}, {_radius_of('')}, {_triangles('f')}, {_tetrahedra('f')}, {_reduction('tri', 'tet', 3)}
+SELECT CAST(2 AS INTEGER) AS dim, radius AS birth, death FROM born WHERE radius <> death""",
+    "persistent_homology_nations": f"WITH RECURSIVE {NATIONS}, {_radius_of('')}, {FOREST}, {_triangles('f')}, {_EDGE_TABLE}, {_reduction('ed', 'tri', 2)} {H0} UNION ALL {_H1}",
+    "edges_float32": f"""WITH pts AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS id, embedding AS v FROM embeddings),
+e AS (SELECT a.id AS a, b.id AS b, list_reduce(list_transform(list_zip(a.v, b.v), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS FLOAT)), lambda s, t: CAST(s + t AS FLOAT)) AS q FROM pts a JOIN pts b ON a.id > b.id)
+SELECT a, b, CAST(CAST(sqrt(CAST(q AS DOUBLE)) AS FLOAT) AS DOUBLE) AS w FROM e WHERE CAST(sqrt(CAST(q AS DOUBLE)) AS FLOAT) <= CAST({THRESHOLD} AS FLOAT)""",
+    "cofacets_threshold": f"WITH {NATIONS}, {_radius_of(str(NATION_THRESHOLD))}, {_triangles('f')}, {FACETS} SELECT eidx, eradius, tidx, tradius FROM fac",
+    "cloud_from_parquet": "SELECT vec_id AS id, CAST(k - 1 AS INTEGER) AS k, round(CAST(embedding[k] AS DOUBLE), 4) AS x FROM embeddings, range(1, 65) r(k)",
+    "points_text_round_trip": f"WITH {NATIONS} SELECT CAST(id AS BIGINT) AS id, CAST(k AS INTEGER) AS k, round(CAST(CAST([x, y, z][k + 1] AS FLOAT) AS DOUBLE), 4) AS x FROM pts, range(3) r(k)",
+    "pairs_csv_round_trip": f"WITH RECURSIVE {NATIONS}, {_radius_of(str(NATION_THRESHOLD))}, {FOREST} {H0}",
+    "generated_clouds": "SELECT * FROM (VALUES ('torus2', CAST(2000 AS BIGINT), CAST(2000 AS BIGINT)), ('torus3', 1000, 1000), ('sphere', 1000, 1000), ('uniform', 500, 500)) v(name, points, inside)",
     "pairs_persistence": f"WITH RECURSIVE {NATIONS}, {_radius_of(str(NATION_THRESHOLD))}, {FOREST} SELECT *, isinf(death) AS infinite, NOT isinf(death) AS finite, death - birth AS persistence FROM ({H0})",
     "image_bounds": "SELECT 0.0::DOUBLE AS min_birth, round(max(b), 9) AS max_birth, round(min(d - b), 9) AS min_persistence, round(max(d - b), 9) AS max_persistence FROM (SELECT CAST(p_size AS DOUBLE) / 10 AS b, CAST(p_size AS DOUBLE) / 10 + p_retailprice / 1000 AS d FROM part)",
     "image_gaussian_iso": _image(PIXELS, 3, "p", _gaussian(0.5, 0.5)),

@@ -59,10 +59,11 @@ def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("id"), coords.alias("coords"))
 
 
-def read_pairs_csv(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """A headerless file of birth,death; inf is infinity."""
+def read_pairs_csv(spark: SparkSession, path: str, dim: int, header: bool = False) -> DataFrame:
+    """A headerless file of birth,death, or one whose header names them; inf is infinity."""
     number = lambda c: F.when(F.lower(F.trim(c)).isin("inf", "infinity", "+inf"), F.lit(float("inf"))).otherwise(F.trim(c).cast("double"))
-    return spark.read.schema("birth string, death string").csv(path).select(F.lit(dim).alias("dim"), number("birth").alias("birth"), number("death").alias("death"))
+    rows = spark.read.option("header", True).csv(path) if header else spark.read.schema("birth string, death string").csv(path)
+    return rows.select(F.lit(dim).alias("dim"), number("birth").alias("birth"), number("death").alias("death"))
 
 
 def write_points_text(cloud: DataFrame, path: str) -> None:

@@ -58,7 +58,7 @@ def own(points, threshold=np.inf, dim=2):
 
 
 def test_radius_and_cofacets():
-    assert own([[0, 0], [3, 0], [0, 4]]).radius(np.array([[2, 1, 0]]))[0] == 5
+    assert own([[0, 0], [3, 0], [0, 4]]).every.radius(np.array([[2, 1, 0]]))[0] == 5
     f = own([[0, 0], [1, 0], [0, 1], [1, 1], [10, 10]])
     assert [-i for _, i in sorted(f.coboundary(0, 1))] == [1, 0, 4]
     assert sorted(-i for _, i in own([[0, 0], [1, 0], [0, 1], [1, 1], [10, 10]], 5).coboundary(0, 1)) == [0, 1]

@@ -35,6 +35,10 @@ def test_equals_sql(spark, duck, name):
     assert comparable([tuple(r) for r in df.collect()], df.columns) == comparable(own.fetchall(), own.columns)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.TOPOLOGY if n not in entry.TOPOLOGY_SQL and n != "h2_pairs_nations"])
+@pytest.mark.parametrize("name", [n for n in entry.TOPOLOGY if n not in entry.TOPOLOGY_SQL])
 def test_runs(spark, name):
     assert entry.TOPOLOGY[name](spark, SF).count() > 0
+
+
+def test_classes_of_dimension_2(spark):
+    assert entry.TOPOLOGY["h2_pairs_axes"](spark, SF).where("death > birth + 0.1").count() == 3
