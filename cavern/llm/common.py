@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import checkpoint_folder, checkpointed  # noqa: F401
+from ..plans.session import checkpoint_folder, checkpointed, passing_folder  # noqa: F401
 
 #: Unicode White_Space, as the Rust regular expressions of the tokenizers have it (fixed values).
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -28,14 +27,6 @@ def shared_folder(spark: SparkSession) -> str:
     return checkpoint_folder(spark)
 
 
-def passing_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table that is read again; it is removed when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder: compressed, and read again by column."""
     path = passing_folder(df.sparkSession, name)

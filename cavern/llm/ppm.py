@@ -7,10 +7,12 @@ symbols as the escape (method D); after an escape the next shorter context is as
 refused. Below the longest order, a context counts the distinct longer contexts in which a symbol was new, as
 update exclusion does. What no context knows is uniform over the symbols not seen at all.
 
-The trie is a table of the longest-order grams with their counts; shorter orders are sums of its rows, and rows
-whose contexts end alike lie in one task. Documents are dealt over splits of bounded size. Each split lists its
-distinct grams and words once, they are counted over all splits, and each split gets the values of its own. The
-grams' values are broadcast while their number is below a bound, and go to the splits like the words' beyond it.
+The trie is a table of the longest-order grams with their counts; shorter orders are sums of its rows. Rows whose
+contexts end in the same three bytes lie in one task, at most 2**24 of them; the orders from two down come from a table
+of grams of three bytes, at most as many again, that every task gets. Documents are dealt over splits of bounded size,
+a task each. Each split lists its distinct grams and words once, they are counted over all splits, and each split gets
+the values of its own by a join. The grams' values are broadcast while their number is below a bound, and go to the
+splits like the words' beyond it. Words are told apart by 64-bit hashes, so n_known may be off where two collide.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id counts as the empty text in the fold;
 repeated rows are documents like any other; without a training row all counts are zero and the base score is
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_fold, n_parts, slices, texts
+from .common import checkpointed, id_fold, n_parts, slices, texts, written
 
 #: Bytes of context; with the symbol, a gram fits eight bytes.
 ORDER = 5
@@ -37,11 +39,11 @@ ORDER = 5
 END, BEFORE = 0x0B, 0x0A
 #: Symbols a text can be coded with: every byte but the six of white space, the blank and the end.
 SYMBOLS = 252
-#: Text bytes of a split.
-SPLIT_BYTES = 24 << 20
+#: Text bytes of a split at least and at most, and the number of splits between these.
+SPLIT_BYTES, LARGEST_SPLIT, SPLITS = 24 << 20, 256 << 20, 2_000
 #: Gram values that are broadcast (16 bytes each); beyond it they are joined.
 BROADCAST_GRAMS = 3_000_000
-GRAM, WORD = 0, 1
+GRAM, WORD, TEXT = 0, 1, 2
 END_WORD = b"\x0b"
 
 
@@ -78,12 +80,14 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first) if len(keys) else values
 
 
-def split_counts(table: pa.Table, order: int = ORDER) -> pa.Table:
+def split_counts(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Iterator[pa.RecordBatch]:
     """A split's rows (split, text, train) to its distinct grams and words, counted in the training rows."""
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     words: dict[bytes, int] = {}
-    for whole in table.to_batches():
+    split = None
+    for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
+            split = batch.column("split")[0].as_py()
             for train, rows in ((t, batch.filter(batch.column("train") if t else pa.compute.invert(batch.column("train")))) for t in (True, False)):
                 data = []
                 for tokens, x in map(coded, texts(rows, "text")):
@@ -99,42 +103,62 @@ def split_counts(table: pa.Table, order: int = ORDER) -> pa.Table:
                     grams.append((keys, n * train))
                 if len(grams) > 16:
                     grams = [summed(*(np.concatenate(x) for x in zip(*grams)))]
+    if split is None:
+        return
     keys, n = summed(*(np.concatenate(x) for x in zip(*grams)))
     word_keys = np.fromiter(map(word_key, words), np.uint64, len(words))
-    return pa.table({
-        "split": pa.array(np.full(len(keys) + len(words), table.column("split")[0].as_py()), pa.int32()),
-        "kind": pa.array(np.repeat([GRAM, WORD], [len(keys), len(words)]), pa.int32()),
-        "key": pa.array(np.concatenate([keys, word_keys]).view(np.int64)),
-        "n": pa.array(np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))]), pa.int64()),
-    })
-
-
-def short_orders(order1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From the 256 x 256 counts of order 1, those of orders 1 and 0."""
-    return order1, (order1 > 0).sum(axis=0)
-
-
-def log_probabilities(keys: np.ndarray, n: np.ndarray, order1: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 probability of each gram (uint64) given its context; all grams of the contexts' last two bytes are there."""
-    one, zero = short_orders(order1)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(keys) + len(words), split), pa.int32()),
+            pa.array(np.repeat([GRAM, WORD], [len(keys), len(words)]), pa.int32()),
+            pa.array(np.concatenate([keys, word_keys]).view(np.int64)),
+            pa.array(np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))]), pa.int64()),
+        ],
+        names=["split", "kind", "key", "n"],
+    )
+
+
+class ShortOrders:
+    """Orders 2 to 0, from how many contexts of three bytes that end alike know a symbol: (grams of three bytes, these numbers)."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.counts = grams[order].astype(np.int64), counts[order].astype(np.int64)
+        pairs = self.grams & 0xFFFF
+        self.one = np.bincount(pairs, minlength=1 << 16).reshape(256, 256)
+        self.zero = (self.one > 0).sum(axis=0)
+        context = self.grams >> 8
+        lower = self.one[pairs >> 8, pairs & 255]
+        self.two = [np.bincount(context, weights=w, minlength=1 << 16).astype(np.int64) for w in (self.counts, np.ones(len(context)), lower)]
+
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        """Of grams of three bytes."""
+        if not len(self.grams):
+            return np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, self.counts[at], 0)
+
+
+def log_probabilities(keys: np.ndarray, n: np.ndarray, short: ShortOrders, order: int = ORDER) -> np.ndarray:
+    """log10 probability of each gram (uint64) given its context; all grams of the contexts' last three bytes are there."""
+    one, zero = short.one, short.zero
     # For each order from the longest to 0, for each gram: its symbol's count, and its context's total,
     # distinct symbols, and the total that those symbols have in the next shorter context.
     grams, counts = keys, n.astype(np.int64)
     place = np.arange(len(keys))
     levels = []
-    for k in range(order, 1, -1):
+    for k in range(order, 2, -1):
         shorter = grams & np.uint64((1 << 8 * k) - 1)
         distinct, into = np.unique(shorter, return_inverse=True)
         below = np.bincount(into, weights=counts > 0, minlength=len(distinct)).astype(np.int64)
-        if k == 2:
-            below_of = one[(grams >> np.uint64(8)) & np.uint64(255), grams & np.uint64(255)]
-        else:
-            below_of = below[into]
+        below_of = short.count(shorter.astype(np.int64)) if k == 3 else below[into]
         _, context = np.unique(grams >> np.uint64(8), return_inverse=True)
         total, symbols, lower = (np.bincount(context, weights=w)[context] for w in (counts, counts > 0, below_of * (counts > 0)))
         levels.append(tuple(x[place] for x in (counts, total, symbols, lower)))
         grams, counts, place = distinct, below, into[place]
-    b, s = (keys >> np.uint64(8)) & np.uint64(255), keys & np.uint64(255)
+    three = (keys & np.uint64(0xFFFFFF)).astype(np.int64)
+    b, s = three >> 8 & 255, three & 255
+    levels.append((short.count(three), *(x[three >> 8] for x in short.two)))
     levels.append((one[b, s], one.sum(axis=1)[b], (one > 0).sum(axis=1)[b], ((one > 0) * zero[None, :]).sum(axis=1)[b]))
     levels.append((zero[s], np.full(len(keys), zero.sum()), np.full(len(keys), (zero > 0).sum()), None))
     out, over = np.zeros(len(keys)), np.zeros(len(keys), bool)
@@ -175,19 +199,28 @@ class Lookup:
         return self.values[at]
 
 
-def score_split(docs: pa.Table, values: pa.Table, grams: Lookup | None, n_train: int, v_train: int, order: int = ORDER) -> pa.Table:
-    """doc_id, held_out and the figures of each of a split's documents."""
-    kind = values.column("kind").to_numpy()
-    keys, value = values.column("key").to_numpy().view(np.uint64), values.column("value").to_numpy()
-    if grams is None:
-        grams = Lookup(keys[kind == GRAM], value[kind == GRAM])
-    known = dict(zip(keys[kind == WORD].tolist(), value[kind == WORD].tolist()))
+def score_batches(batches: Iterator[pa.RecordBatch], grams: tuple[np.ndarray, np.ndarray] | None, n_train: int, v_train: int, order: int = ORDER) -> Iterator[pa.RecordBatch]:
+    """A split's values and then its documents (kind, key, value, doc_id, text, train) to the figures of each document."""
+    values: list[tuple[np.ndarray, ...]] = []
+    lookup = Lookup(*grams) if grams else None
+    known: dict[int, float] | None = None
     counts: dict[bytes, float] = {}
     with np.errstate(divide="ignore"):
         base = np.log10(0.5) - np.log10(n_train + 0.5 * (v_train + 1))
-    out = []
-    for whole in docs.to_batches():
-        for batch in slices(whole, "text", 2 << 20):
+    for whole in batches:
+        kind = whole.column("kind").to_numpy()
+        if (kind != TEXT).any():
+            own = whole.filter(pa.array(kind != TEXT))
+            values.append((own.column("kind").to_numpy(), own.column("key").to_numpy().view(np.uint64), own.column("value").to_numpy()))
+        docs = whole.filter(pa.array(kind == TEXT))
+        if not docs.num_rows:
+            continue
+        if known is None:
+            kinds, keys, value = (np.concatenate(x) for x in zip(*values))
+            known = dict(zip(keys[kinds == WORD].tolist(), value[kinds == WORD].tolist()))
+            lookup = lookup or Lookup(keys[kinds == GRAM], value[kinds == GRAM])
+            values.clear()
+        for batch in slices(docs, "text", 2 << 20):
             both = [coded(t) for t in texts(batch, "text")]
             n_tokens = np.array([len(tokens) for tokens, _ in both])
             for w in set().union(*(tokens for tokens, _ in both)) - counts.keys():
@@ -195,8 +228,8 @@ def score_split(docs: pa.Table, values: pa.Table, grams: Lookup | None, n_train:
             c = np.fromiter((counts[w] for tokens, _ in both for w in tokens), np.float64, int(n_tokens.sum()))
             first = np.cumsum(n_tokens) - n_tokens
             token_keys, lengths = grams_of([x for _, x in both], order)
-            score = np.add.reduceat(grams(token_keys), np.cumsum(lengths) - lengths)
-            out.append(pa.table({
+            score = np.add.reduceat(lookup(token_keys), np.cumsum(lengths) - lengths)
+            yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "held_out": pa.compute.invert(batch.column("train")),
                 "n_tokens": pa.array(n_tokens, pa.int64()),
@@ -204,50 +237,48 @@ def score_split(docs: pa.Table, values: pa.Table, grams: Lookup | None, n_train:
                 "train_tokens": pa.array(np.full(len(both), n_train), pa.int64()),
                 "base_score": pa.array(np.add.reduceat(np.log10(2 * c + 1), first) + n_tokens * base),
                 "score": pa.array(score),
-            }))
-    return pa.concat_tables(out)
+            })
 
 
-def order1_counts(grams: DataFrame) -> np.ndarray:
-    """How many contexts of two bytes that end in b know s, by (b, s): at most 65,536 rows reach the driver."""
-    pairs = grams.where("n > 0").select(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).distinct()
-    rows = pairs.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFF)).alias("g")).count().toPandas()
-    found = np.zeros(65_536, np.int64)
-    found[rows["g"].to_numpy(np.int64)] = rows["count"]
-    return found.reshape(256, 256)
+def short_orders(grams: DataFrame) -> ShortOrders:
+    """From all grams and counts; at most 2**24 rows reach the driver."""
+    pairs = grams.where("n > 0").select(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("g")).distinct()
+    rows = pairs.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).count().toArrow()
+    return ShortOrders(rows.column("g").to_numpy(), rows.column("count").to_numpy())
 
 
-def score(docs: DataFrame, holdout_fold: int = 1, order: int = ORDER, split_bytes: int = SPLIT_BYTES, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def score(docs: DataFrame, holdout_fold: int = 1, order: int = ORDER, split_bytes: int | None = None, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0]
-    split = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts(total or 0, split_bytes))).cast("int").alias("split")
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    splits = n_parts(total, split_bytes or min(max(SPLIT_BYTES, total // SPLITS), LARGEST_SPLIT))
+    split = F.pmod(F.xxhash64("doc_id", "text"), F.lit(splits)).cast("int").alias("split")
     rows = docs.select(split, "doc_id", "text", (id_fold(F.col("doc_id")) != holdout_fold).alias("train"))
-    counted = rows.select("split", "text", "train").groupBy("split").applyInArrow(lambda t: split_counts(t, order), "split int, kind int, key long, n long")
-    model = checkpointed(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("split").alias("splits")))
+    # A partition for each split, so that no task gets two.
+    dealt = rows.select("split", "text", "train").repartitionById(splits, F.col("split"))
+    counted = written(dealt.mapInArrow(lambda it: split_counts(it, order), "split int, kind int, key long, n long"), "counts")
+    model = checkpointed(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words, grams = model.where(F.col("kind") == WORD), model.where(F.col("kind") == GRAM)
     n_train, v_train = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     n_grams = grams.count()
-    order1 = spark.sparkContext.broadcast(order1_counts(grams))
+    short = spark.sparkContext.broadcast(short_orders(grams))
 
     def gram_values(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["key"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"key": pdf["key"], "value": log_probabilities(keys, pdf["n"].to_numpy(), order1.value, order)})
+        return pd.DataFrame({"kind": GRAM, "key": pdf["key"], "value": log_probabilities(keys, pdf["n"].to_numpy(), short.value, order)})
 
-    ends = F.shiftrightunsigned(F.col("key"), 8).bitwiseAND(F.lit(0xFFFF))
+    ends = F.shiftrightunsigned(F.col("key"), 8).bitwiseAND(F.lit(0xFFFFFF))
     bucket = F.pmod(F.xxhash64(ends), F.lit(max(n_parts(n_grams, 100_000), 12)))
-    valued = grams.select("key", "n", bucket.alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: gram_values(pdf), "key long, value double")
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value"), F.explode("splits").alias("split"))
-    shared = None
+    valued = grams.select("key", "n", bucket.alias("bucket")).groupBy("bucket").applyInPandas(gram_values, "kind int, key long, value double")
+    known, shared = words.select("kind", "key", F.col("n").cast("double").alias("value")), None
     if n_grams <= broadcast_grams:
         found = valued.toArrow()
         shared = spark.sparkContext.broadcast((found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()))
+        own = counted.where(F.col("kind") == WORD)
     else:
-        splits = grams.select("kind", "key", F.explode("splits").alias("split"))
-        values = values.unionByName(splits.join(valued, "key").select("kind", "key", "value", "split"))
-
-    def scored(own: pa.Table, known: pa.Table) -> pa.Table:
-        return score_split(own, known, Lookup(*shared.value) if shared else None, n_train, v_train, order)
-
+        known, own = checkpointed(known.unionByName(valued)), counted
+    # A key of very many splits is split by Spark's adaptive handling of skewed joins.
+    values = own.select("split", "kind", "key").join(known, ["kind", "key"])
+    both = values.unionByName(rows.withColumn("kind", F.lit(TEXT)), allowMissingColumns=True).repartitionById(splits, F.col("split")).sortWithinPartitions("kind")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("split").cogroup(values.groupBy("split")).applyInArrow(scored, schema)
+    return both.mapInArrow(lambda it: score_batches(it, shared.value if shared else None, n_train, v_train, order), schema)
