@@ -16,6 +16,8 @@ from ..plans.session import checkpoint_folder, checkpointed, passing_folder  # n
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of a written table that a task holds before they go to its file.
+WRITTEN_BLOCK = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder: compressed, and read again by column."""
     path = passing_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", WRITTEN_BLOCK).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

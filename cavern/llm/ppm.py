@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_fold, n_parts, slices, texts, written
+from .common import id_fold, n_parts, slices, texts, written
 
 #: Bytes of context; with the symbol, a gram fits eight bytes.
 ORDER = 5
@@ -39,8 +39,10 @@ ORDER = 5
 END, BEFORE = 0x0B, 0x0A
 #: Symbols a text can be coded with: every byte but the six of white space, the blank and the end.
 SYMBOLS = 252
-#: Text bytes of a split at least and at most, and the number of splits between these.
-SPLIT_BYTES, LARGEST_SPLIT, SPLITS = 24 << 20, 256 << 20, 2_000
+#: Text bytes of a split at most, on the mean.
+SPLIT_BYTES = 24 << 20
+#: Slices of a split whose grams are held before they are summed.
+HELD = 6
 #: Gram values that are broadcast (16 bytes each); beyond it they are joined.
 BROADCAST_GRAMS = 3_000_000
 GRAM, WORD, TEXT = 0, 1, 2
@@ -80,42 +82,58 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first) if len(keys) else values
 
 
+class SplitCounts:
+    """The distinct grams and words of a split's documents, counted in the training rows."""
+
+    def __init__(self, split: int, order: int):
+        self.split, self.order = split, order
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: dict[bytes, int] = {}
+
+    def add(self, rows: pa.RecordBatch, train: bool) -> None:
+        words, data = self.words, []
+        for tokens, x in map(coded, texts(rows, "text")):
+            data.append(x)
+            if train:
+                for w in tokens:
+                    words[w] = words.get(w, 0) + 1
+            else:
+                for w in tokens:
+                    words.setdefault(w, 0)
+        if data:
+            keys, n = np.unique(grams_of(data, self.order)[0], return_counts=True)
+            self.grams.append((keys, n * train))
+        if len(self.grams) > HELD:
+            self.grams = [summed(*(np.concatenate(x) for x in zip(*self.grams)))]
+
+    def result(self) -> pa.RecordBatch:
+        keys, n = summed(*(np.concatenate(x) for x in zip(*self.grams)))
+        words = np.fromiter(map(word_key, self.words), np.uint64, len(self.words))
+        columns = [
+            pa.array(np.full(len(keys) + len(words), self.split), pa.int32()),
+            pa.array(np.repeat([GRAM, WORD], [len(keys), len(words)]), pa.int32()),
+            pa.array(np.concatenate([keys, words]).view(np.int64)),
+            pa.array(np.concatenate([n, np.fromiter(self.words.values(), np.int64, len(words))]), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["split", "kind", "key", "n"])
+
+
 def split_counts(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Iterator[pa.RecordBatch]:
-    """A split's rows (split, text, train) to its distinct grams and words, counted in the training rows."""
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    words: dict[bytes, int] = {}
-    split = None
+    """Rows (split, text, train) to counts (split, kind, key, n); a split whose rows aren't together is counted in parts."""
+    own: SplitCounts | None = None
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
-            split = batch.column("split")[0].as_py()
-            for train, rows in ((t, batch.filter(batch.column("train") if t else pa.compute.invert(batch.column("train")))) for t in (True, False)):
-                data = []
-                for tokens, x in map(coded, texts(rows, "text")):
-                    data.append(x)
-                    if train:
-                        for w in tokens:
-                            words[w] = words.get(w, 0) + 1
-                    else:
-                        for w in tokens:
-                            words.setdefault(w, 0)
-                if data:
-                    keys, n = np.unique(grams_of(data, order)[0], return_counts=True)
-                    grams.append((keys, n * train))
-                if len(grams) > 16:
-                    grams = [summed(*(np.concatenate(x) for x in zip(*grams)))]
-    if split is None:
-        return
-    keys, n = summed(*(np.concatenate(x) for x in zip(*grams)))
-    word_keys = np.fromiter(map(word_key, words), np.uint64, len(words))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(keys) + len(words), split), pa.int32()),
-            pa.array(np.repeat([GRAM, WORD], [len(keys), len(words)]), pa.int32()),
-            pa.array(np.concatenate([keys, word_keys]).view(np.int64)),
-            pa.array(np.concatenate([n, np.fromiter(words.values(), np.int64, len(words))]), pa.int64()),
-        ],
-        names=["split", "kind", "key", "n"],
-    )
+            split = batch.column("split").to_numpy()
+            for part in np.split(np.arange(len(split)), np.flatnonzero(np.diff(split)) + 1):
+                if own is None or own.split != split[part[0]]:
+                    if own:
+                        yield own.result()
+                    own = SplitCounts(int(split[part[0]]), order)
+                rows = batch.slice(part[0], len(part))
+                for train in (True, False):
+                    own.add(rows.filter(rows.column("train") if train else pa.compute.invert(rows.column("train"))), train)
+    if own:
+        yield own.result()
 
 
 class ShortOrders:
@@ -199,11 +217,10 @@ class Lookup:
         return self.values[at]
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], grams: tuple[np.ndarray, np.ndarray] | None, n_train: int, v_train: int, order: int = ORDER) -> Iterator[pa.RecordBatch]:
+def score_batches(batches: Iterator[pa.RecordBatch], lookup: Lookup | None, n_train: int, v_train: int, order: int = ORDER) -> Iterator[pa.RecordBatch]:
     """A split's values and then its documents (kind, key, value, doc_id, text, train) to the figures of each document."""
     values: list[tuple[np.ndarray, ...]] = []
-    lookup = Lookup(*grams) if grams else None
-    known: dict[int, float] | None = None
+    known: tuple[np.ndarray, np.ndarray] | None = None
     counts: dict[bytes, float] = {}
     with np.errstate(divide="ignore"):
         base = np.log10(0.5) - np.log10(n_train + 0.5 * (v_train + 1))
@@ -217,14 +234,15 @@ def score_batches(batches: Iterator[pa.RecordBatch], grams: tuple[np.ndarray, np
             continue
         if known is None:
             kinds, keys, value = (np.concatenate(x) for x in zip(*values))
-            known = dict(zip(keys[kinds == WORD].tolist(), value[kinds == WORD].tolist()))
-            lookup = lookup or Lookup(keys[kinds == GRAM], value[kinds == GRAM])
             values.clear()
+            known = summed(keys[kinds == WORD], value[kinds == WORD])
+            lookup = lookup or Lookup(keys[kinds == GRAM], value[kinds == GRAM])
         for batch in slices(docs, "text", 2 << 20):
             both = [coded(t) for t in texts(batch, "text")]
             n_tokens = np.array([len(tokens) for tokens, _ in both])
-            for w in set().union(*(tokens for tokens, _ in both)) - counts.keys():
-                counts[w] = known[word_key(w)]
+            new = list(set().union(*(tokens for tokens, _ in both)) - counts.keys())
+            at = np.searchsorted(known[0], np.fromiter(map(word_key, new), np.uint64, len(new)))
+            counts.update(zip(new, known[1][at].tolist()))
             c = np.fromiter((counts[w] for tokens, _ in both for w in tokens), np.float64, int(n_tokens.sum()))
             first = np.cumsum(n_tokens) - n_tokens
             token_keys, lengths = grams_of([x for _, x in both], order)
@@ -247,17 +265,17 @@ def short_orders(grams: DataFrame) -> ShortOrders:
     return ShortOrders(rows.column("g").to_numpy(), rows.column("count").to_numpy())
 
 
-def score(docs: DataFrame, holdout_fold: int = 1, order: int = ORDER, split_bytes: int | None = None, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def score(docs: DataFrame, holdout_fold: int = 1, order: int = ORDER, split_bytes: int = SPLIT_BYTES, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    splits = n_parts(total, split_bytes or min(max(SPLIT_BYTES, total // SPLITS), LARGEST_SPLIT))
+    splits = n_parts(total, split_bytes)
     split = F.pmod(F.xxhash64("doc_id", "text"), F.lit(splits)).cast("int").alias("split")
     rows = docs.select(split, "doc_id", "text", (id_fold(F.col("doc_id")) != holdout_fold).alias("train"))
     # A partition for each split, so that no task gets two.
     dealt = rows.select("split", "text", "train").repartitionById(splits, F.col("split"))
     counted = written(dealt.mapInArrow(lambda it: split_counts(it, order), "split int, kind int, key long, n long"), "counts")
-    model = checkpointed(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    model = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "model")
     words, grams = model.where(F.col("kind") == WORD), model.where(F.col("kind") == GRAM)
     n_train, v_train = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     n_grams = grams.count()
@@ -273,11 +291,11 @@ def score(docs: DataFrame, holdout_fold: int = 1, order: int = ORDER, split_byte
     known, shared = words.select("kind", "key", F.col("n").cast("double").alias("value")), None
     if n_grams <= broadcast_grams:
         found = valued.toArrow()
-        shared = spark.sparkContext.broadcast((found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()))
+        shared = spark.sparkContext.broadcast(Lookup(found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()))
         own = counted.where(F.col("kind") == WORD)
     else:
-        known, own = checkpointed(known.unionByName(valued)), counted
-    # A key of very many splits is split by Spark's adaptive handling of skewed joins.
+        known, own = written(known.unionByName(valued), "values"), counted
+    # A key of very many splits is split by Spark's adaptive handling of skewed joins; a partition for each split after it.
     values = own.select("split", "kind", "key").join(known, ["kind", "key"])
     both = values.unionByName(rows.withColumn("kind", F.lit(TEXT)), allowMissingColumns=True).repartitionById(splits, F.col("split")).sortWithinPartitions("kind")
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

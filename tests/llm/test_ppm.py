@@ -104,7 +104,7 @@ def test_query_on_both_paths(spark):
     vocab = ["the", "cat", "Sat", "on", "mat,", "é", "x" * 30, "dog"]
     rows = [(int(i), " ".join(r.choice(vocab, r.integers(0, 40)))) for i in range(60)] + [(None, None), (3, ""), (4, "a\n\tb  C"), (4, "a\n\tb  C")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    both = [ppm.score(df, split_bytes=b, broadcast_grams=g).collect() for b, g in ((1 << 20, 10**6), (600, 0))]
+    both = [ppm.score(df, split_bytes=b, broadcast_grams=g).collect() for b, g in ((1 << 20, 10**6), (100, 0))]
     for got in both:
         assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == expected(rows)
         assert all(x.score < 0 for x in got)
