@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from .common import checkpointed, ragged, slices, texts
 from .graph import components
 
-#: Fingerprints of a subtree that are compared at once instead of being split further.
-LEAF = 64
+#: Fingerprints of a subtree that are compared at once instead of being split further; the wide ones' radius prunes less.
+LEAF, WIDE_LEAF = 16, 64
 #: Queries that go down a tree together.
 QUERIES = 4096
 #: Fingerprints of a shard whose queries one task takes.
 SHARD_ROWS = 16_384
 #: The mean number of fingerprints in a shard that decides on the number of blocks.
-SHARD_MEAN = 64
+SHARD_MEAN = 256
 #: Texts of a block of a large group of similar fingerprints; a task compares two blocks.
 BLOCK_ROWS = 1024
 #: Shingles of texts that are looked up at once.
@@ -157,7 +157,7 @@ def spanning(fps: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarra
     """Edges (indices u, v) of a forest that ties the fps as the links between asked ones and all do."""
     label = np.arange(len(fps))
     queries = np.flatnonzero(asked)
-    for q, m in BKTree(fps).search(fps[queries], radius):
+    for q, m in BKTree(fps, LEAF if fps.shape[-1] == 1 else WIDE_LEAF).search(fps[queries], radius):
         a, b = label[queries[q]], label[m]
         differ = a != b
         if not differ.any():

@@ -156,3 +156,26 @@ def test_links_are_decided_by_exact_similarity(spark):
     for shard_rows, block_rows in ((16_384, 1024), (200, 2)):
         got = simhash.similar_component_ids(df, 5, 0.8, shard_rows, block_rows).collect()
         assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_production_trees_grow_and_prune(monkeypatch):
+    """A shard of the intended size has nodes with children, and a search leaves some of their edges out."""
+    r = random.Random(3)
+    shared = r.getrandbits(13)
+    fps = [r.getrandbits(51) << 13 | shared for _ in range(simhash.SHARD_MEAN)]
+    fps = np.array(sorted({*fps, *(f ^ 1 << 20 + k % 40 for k, f in enumerate(fps[:40]))}), np.uint64)
+    tree = simhash.BKTree(fps, simhash.LEAF)
+    assert tree.root["children"] and all(len(x["members"]) <= simhash.LEAF for x in tree.root["children"].values() if x["pivot"] is None)
+    compared, hamming = [], simhash.hamming
+    monkeypatch.setattr(simhash, "hamming", lambda a, b: compared.append(np.broadcast(a, b).size) or hamming(a, b))
+    found = {(int(q), int(m)) for own, near in tree.search(fps, 4) for q, m in zip(own, near)}
+    assert sum(compared) < 0.9 * len(fps) ** 2
+    assert found == {(i, j) for i, a in enumerate(fps.tolist()) for j, b in enumerate(fps.tolist()) if (a ^ b).bit_count() <= 4} and len(found) > len(fps)
+
+
+def test_long_texts(spark):
+    long = " ".join(f"w{k % 977}" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "other words of a text")]
+    got = {x.doc_id: x for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].component_id == 1 and got[3].component_id == 3
+    assert sorted(x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
