@@ -42,7 +42,7 @@ SYMBOLS = 252
 #: Text bytes of a split at most, on the mean.
 SPLIT_BYTES = 24 << 20
 #: Slices of a split whose grams are held before they are summed.
-HELD = 6
+HELD = 12
 #: Gram values that are broadcast (16 bytes each); beyond it they are joined.
 BROADCAST_GRAMS = 3_000_000
 GRAM, WORD, TEXT = 0, 1, 2
@@ -122,7 +122,7 @@ def split_counts(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Itera
     """Rows (split, text, train) to counts (split, kind, key, n); a split whose rows aren't together is counted in parts."""
     own: SplitCounts | None = None
     for whole in batches:
-        for batch in slices(whole, "text", 2 << 20):
+        for batch in slices(whole, "text", 1 << 20):
             split = batch.column("split").to_numpy()
             for part in np.split(np.arange(len(split)), np.flatnonzero(np.diff(split)) + 1):
                 if own is None or own.split != split[part[0]]:
@@ -221,7 +221,6 @@ def score_batches(batches: Iterator[pa.RecordBatch], lookup: Lookup | None, n_tr
     """A split's values and then its documents (kind, key, value, doc_id, text, train) to the figures of each document."""
     values: list[tuple[np.ndarray, ...]] = []
     known: tuple[np.ndarray, np.ndarray] | None = None
-    counts: dict[bytes, float] = {}
     with np.errstate(divide="ignore"):
         base = np.log10(0.5) - np.log10(n_train + 0.5 * (v_train + 1))
     for whole in batches:
@@ -237,12 +236,12 @@ def score_batches(batches: Iterator[pa.RecordBatch], lookup: Lookup | None, n_tr
             values.clear()
             known = summed(keys[kinds == WORD], value[kinds == WORD])
             lookup = lookup or Lookup(keys[kinds == GRAM], value[kinds == GRAM])
-        for batch in slices(docs, "text", 2 << 20):
+        for batch in slices(docs, "text", 1 << 20):
             both = [coded(t) for t in texts(batch, "text")]
             n_tokens = np.array([len(tokens) for tokens, _ in both])
-            new = list(set().union(*(tokens for tokens, _ in both)) - counts.keys())
-            at = np.searchsorted(known[0], np.fromiter(map(word_key, new), np.uint64, len(new)))
-            counts.update(zip(new, known[1][at].tolist()))
+            words = list(set().union(*(tokens for tokens, _ in both)))
+            at = np.searchsorted(known[0], np.fromiter(map(word_key, words), np.uint64, len(words)))
+            counts = dict(zip(words, known[1][at].tolist()))
             c = np.fromiter((counts[w] for tokens, _ in both for w in tokens), np.float64, int(n_tokens.sum()))
             first = np.cumsum(n_tokens) - n_tokens
             token_keys, lengths = grams_of([x for _, x in both], order)
