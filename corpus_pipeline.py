@@ -1,18 +1,23 @@
 """The corpus pipeline: toxic documents go, repeated passages go, one of near-duplicate documents stays, the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
-columns of documents. A row whose text is null counts as one with an empty text in every stage.
+columns of documents.
+
+Defined cases: a row whose text is null counts as one with an empty text in every stage; such rows are near-duplicates of
+each other, and one stays. A null doc_id comes after all others in near-duplicates and before them in repeated passages;
+ties go to the smaller doc_id. Rows that repeat doc_id and text are one document to the passages, and one of them
+stays after near-duplicates. Very long texts are read whole. An empty table gives an empty result in every stage, and
+without labels nothing is toxic. Further columns go through to the near-duplicate stage, a column named removed_lines
+replaced by the passages' own.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cavern.llm import linededup, packing, simhash, toxicity
-from cavern.llm.common import table
+from cavern.llm.common import passing_folder, table
 from cavern.llm.queries import vocabulary_path
 
 #: The toxicity models have no SQL, so neither has the pipeline; tests hold it against brute force.
@@ -54,9 +59,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what a stage returns is written as Parquet beside the checkpoints and read again."""
-    from cavern.llm.common import shared_folder
-
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    folder = passing_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
