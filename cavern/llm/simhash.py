@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ragged, slices, texts
+from .common import checkpointed, ragged, slices, texts, written
 from .graph import components
 
 #: Fingerprints of a subtree that are compared at once instead of being split further; the wide ones' radius prunes less.
@@ -38,6 +38,8 @@ QUERIES = 4096
 SHARD_ROWS = 16_384
 #: The mean number of fingerprints in a shard that decides on the number of blocks.
 SHARD_MEAN = 256
+#: Rows of at most 56 bytes that are broadcast.
+BROADCAST_ROWS = 500_000
 #: Texts of a block of a large group of similar fingerprints; a task compares two blocks.
 BLOCK_ROWS = 1024
 #: Shingles of texts that are looked up at once.
@@ -236,9 +238,11 @@ def blocks_for(rows: int, radius: int) -> int:
 def sharded_links(rows: DataFrame, keys: Column, node: str, words: list[str], radius: int, shard_rows: int) -> DataFrame:
     """Distinct fingerprints (node and words) and the array of their shards to edges (u, v) of nodes."""
     columns = list(dict.fromkeys([node, *words]))
-    rows = rows.select(*columns, F.explode(keys).alias("shard"))
-    hot = rows.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    rows = rows.join(hot, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = rows.select(node, F.explode(keys).alias("shard"))
+    # Shards of one member link nothing; only the others' members take their fingerprints along.
+    met = members.groupBy("shard").count().where("count > 1").select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
+    members = members.join(met, "shard")
+    rows = members if columns == [node] else members.join(rows.select(*columns), node)
     rows = rows.select("shard", *columns, "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rows = rows.select("shard", "part", *columns, (F.pmod(F.xxhash64(node), F.col("parts")) == F.col("part")).alias("asked"))
     return rows.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(lambda it: forest_batches(it, radius, node, words), "u long, v long")
@@ -252,6 +256,11 @@ def links(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, blocks:
     return sharded_links(fps, keys, "fp", ["fp"], radius, shard_rows)
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows of some numbers each, broadcast up to a checked count, so that texts needn't move to them; joined by shuffles beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def tied_components(docs_fp: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:
     """docs_fp (doc_id, fp, ...) with component_id; firsts (fp, first) has each fingerprint's least doc_id."""
     roots = components(edges)
@@ -397,7 +406,7 @@ def similar_links(docs: DataFrame, firsts: DataFrame, near: DataFrame, shingle_w
     nodes = nodes.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     nodes = checkpointed(nodes.join(firsts.select("fp", "first", *WORDS), "fp"))
     same = (F.col("t.fp") == F.col("n.fp")) & F.col("doc_id").eqNullSafe(F.col("first"))
-    rows = docs.alias("t").join(nodes.alias("n"), same).select("n.*", "text")
+    rows = docs.alias("t").join(sized(nodes).alias("n"), same).select("n.*", "text")
     rows = rows.groupBy("root", "fp", "blocks", *WORDS).agg(F.any_value("text").alias("text"))  # rows may repeat id and text
     block = F.pmod(F.xxhash64(F.lit(1), F.col("fp")), F.col("blocks"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != block) | (F.col("blocks") == 1))
@@ -417,8 +426,8 @@ def similar_component_ids(docs: DataFrame, shingle_words: int = 5, similarity: f
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
     common = common_shingles(docs, shingle_words)
     found = docs.mapInArrow(lambda it: wide_batches(it, shingle_words, similarity, common), f"doc_id {kind}, fp long, " + ", ".join(f"{w} long" for w in WORDS) + ", shards array<long>")
-    docs_fp = checkpointed(found)
-    firsts = checkpointed(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in (*WORDS, "shards"))))
+    docs_fp = written(found, "fingerprints")
+    firsts = written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in (*WORDS, "shards"))), "firsts")
     near = sharded_links(firsts, F.col("shards"), "fp", WORDS, search_radius(similarity), shard_rows)
     return tied_components(docs_fp.select("doc_id", "fp"), firsts, similar_links(docs, firsts, near, shingle_words, similarity, block_rows))
 
@@ -429,6 +438,9 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     key = F.xxhash64("doc_id", "text")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), key.alias("key")).alias("doc_id")
     found = similar_component_ids(docs.select(order, "text"), shingle_words, similarity)
-    kept = found.where("doc_id = component_id").select(F.col("component_id.key").alias("__key")).distinct()
-    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
-    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__nth = 1").select(*docs.columns)
+    kept = checkpointed(found.where("doc_id = component_id").select(F.col("component_id.key").alias("__key")).distinct())
+    rows = docs.withColumn("__key", key).join(sized(kept), "__key", "left_semi")
+    repeated = checkpointed(docs.groupBy(key.alias("__key")).count().where("count > 1").select("__key"))
+    once = rows.join(sized(repeated), "__key", "left_anti")
+    again = rows.join(sized(repeated), "__key", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__nth = 1")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -179,3 +179,18 @@ def test_long_texts(spark):
     got = {x.doc_id: x for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2].component_id == 1 and got[3].component_id == 3
     assert sorted(x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
+
+
+def test_one_of_each_is_the_same_without_broadcasts(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [r.choice("abcdefgh") + str(r.randrange(90)) for _ in range(60)]
+        rows += [(3 * i, " ".join(words), i), (3 * i + 1, " ".join([*words[:-1], "other"]), i), (3 * i, " ".join(words), i)]
+    df = spark.createDataFrame([*rows, (None, None, 1), (None, None, 1)], "doc_id long, text string, __n int")
+    both = []
+    for bound in (10**6, -1):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+        both.append(sorted(map(tuple, simhash.one_of_each(df).collect()), key=str))
+    assert both[0] == both[1] and [x[0] for x in both[0]].count(None) == 1
+    assert sorted(x[0] for x in both[0] if x[0] is not None) == [3 * i for i in range(60)]
