@@ -23,26 +23,30 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE
-from .common import WHITE, checkpointed, n_parts, ragged, slices, texts
+from .common import WHITE, checkpointed, n_parts, ragged, slices
 
 CAPACITY = 4096
 #: The share of its slot that an uncut piece may waste.
 SLACK = 1 / 64
 #: Pieces of a class that one task numbers.
 CLASS_ROWS = 100_000
-#: Chunks that a worker remembers before it starts afresh.
-CACHE_CHUNKS = 600_000
+#: Chunks that a worker remembers before it starts afresh, and their bytes with those of the texts at hand.
+CACHE_CHUNKS, CACHE_BYTES = 600_000, 64 << 20
+#: New chunks that are Python strings at once.
+LEARNT_AT_ONCE = 20_000
+#: Chunks whose ids are gathered at once.
+GATHERED_AT_ONCE = 1 << 16
 #: Chunks of letters whose case and normal form don't depend on context, without the mark of special tokens.
 PLAIN = re.compile("(?!.*<\\|)[\0-\xff]*", re.DOTALL)
 #: What the vocabulary's pre-tokenizer keeps of a chunk (fixed values), and the line end between chunks.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+|\n")
-CHUNK = regex.compile(f"[^{WHITE}]+")
-#: What str.split takes for white space but the vocabulary's normalizer doesn't.
+#: What Arrow's split takes for white space, as str.split does, but the vocabulary's normalizer doesn't.
 SEPARATORS = "".join(map(chr, range(28, 32)))
 
 
@@ -50,7 +54,7 @@ class ChunkTokenizer:
     """Encodes texts as the tokenizers library does, each distinct run between white space once.
 
     Right for vocabularies whose normalizer and pre-tokenizer treat such runs apart and drop the white space,
-    as word-end BPE does.
+    as word-end BPE does. Runs are split, told apart and remembered in Arrow arrays; only new ones become Python strings.
     """
 
     def __init__(self, path: str):
@@ -64,46 +68,59 @@ class ChunkTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([""])  # stands where white space begins or ends a text
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.offsets, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.offsets, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, new: pa.Array) -> None:
         """Plain chunks are merged in numpy rounds, many at once; the library encodes the others."""
-        new = [c for c in chunks if c not in self.known]
-        plain = new if PLAIN.fullmatch("".join(new)) else [c for c in new if PLAIN.fullmatch(c)]
-        for at in range(0, len(plain), 50_000):
-            part = plain[at : at + 50_000]
-            self.add(part, *self.merger.merge_runs(PIECE.findall("\n".join([*part, ""]).lower()), "\n"))
-        if len(plain) < len(new):
-            others = [c for c in new if not PLAIN.fullmatch(c)]
-            found = [x.ids for x in self.library.encode_batch_fast(others, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.add(others, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
-
-    def add(self, part: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        for at in range(0, len(new), LEARNT_AT_ONCE):
+            part = new.slice(at, LEARNT_AT_ONCE).to_pylist()
+            all_plain = PLAIN.fullmatch("".join(part)) is not None
+            is_plain = np.array([all_plain or PLAIN.fullmatch(c) is not None for c in part])
+            plain, others = [c for c, p in zip(part, is_plain) if p], [c for c, p in zip(part, is_plain) if not p]
+            lengths, flat = np.empty(len(part), np.int64), []
+            if plain:
+                ids, lengths[is_plain] = self.merger.merge_runs(PIECE.findall("\n".join([*plain, ""]).lower()), "\n")
+                flat.append(ids)
+            if others:
+                found = [x.ids for x in self.library.encode_batch_fast(others, add_special_tokens=False)]
+                lengths[~is_plain] = [len(x) for x in found]
+                flat.append(np.fromiter((i for x in found for i in x), np.int64, int(lengths[~is_plain].sum())))
+            self.add(np.concatenate(flat), lengths, np.argsort(~is_plain, kind="stable"))
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> None:
+        """Stores the ids of chunks, which lie in flat in this order of them."""
         if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(flat)), np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids) // 2, len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.offsets = np.concatenate([self.offsets, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        offsets = np.empty(len(lengths), np.int64)
+        offsets[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
+        self.offsets, self.lengths = np.concatenate([self.offsets, offsets]), np.concatenate([self.lengths, lengths])
         self.used += len(flat)
-        self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
 
-    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, batch: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and each text's number of them."""
-        if len(self.known) > CACHE_CHUNKS:
+        column = pc.fill_null(pa.array(batch, pa.string()) if isinstance(batch, list) else batch.cast(pa.string()), "")
+        if len(self.known) > CACHE_CHUNKS or self.known.nbytes + column.nbytes > CACHE_BYTES:
             self.forget()
-        chunks, counts = [], []
-        for text in batch:
-            own = CHUNK.findall(text) if any(c in text for c in SEPARATORS) else text.split()
-            chunks += own
-            counts.append(len(own))
-        self.learn(set(chunks))
-        picks = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        lengths = self.lengths[picks]
-        bounds = np.cumsum(np.r_[0, lengths])[np.cumsum(np.r_[0, counts]).astype(np.int64)]
-        return ragged(self.ids, self.offsets[picks], lengths), np.diff(bounds)
+        odd = pc.any(pc.match_substring_regex(column, f"[{SEPARATORS}]")).as_py()
+        own = pc.split_pattern_regex(column, f"[{WHITE}]+") if odd else pc.utf8_split_whitespace(column)
+        # What is known comes first, so that its codes stay, and new chunks get the codes that follow.
+        n, coded = len(self.known), pa.concat_arrays([self.known, own.flatten()]).dictionary_encode()
+        self.known = coded.dictionary
+        self.learn(self.known.slice(n))
+        picks = coded.indices.to_numpy()[n:]
+        ends = np.cumsum(pc.list_value_length(own).to_numpy(), dtype=np.int64)
+        bounds = np.cumsum(np.r_[0, self.lengths[picks]])[np.r_[0, ends]]
+        ids = np.empty(bounds[-1], np.uint32)
+        at = 0
+        for k in range(0, len(picks), GATHERED_AT_ONCE):
+            part = picks[k : k + GATHERED_AT_ONCE]
+            found = ragged(self.ids, self.offsets[part], self.lengths[part])
+            ids[at : at + len(found)] = found
+            at += len(found)
+        return ids, np.diff(bounds)
 
 
 @lru_cache(maxsize=2)
@@ -137,7 +154,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cap
     own = tokenizer(path)
     for whole in batches:
         for batch in slices(whole, "text"):
-            ids, counts = own.encode(texts(batch, "text"))
+            ids, counts = own.encode(batch.column("text"))
             rows: list[tuple[int, int, int, int, int]] = []
             at = 0
             for k, n in enumerate(counts.tolist()):
@@ -151,6 +168,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cap
                 [batch.column("doc_id").take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
     own.forget()  # other operators' tasks may run in this worker next
+    pa.default_memory_pool().release_unused()
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, digest: Callable[[np.ndarray], int] = crc32_of) -> DataFrame:

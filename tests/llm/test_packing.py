@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from cavern.llm import packing
@@ -23,6 +25,37 @@ def test_chunks_encode_like_whole_texts():
         at += n
 
 
+def test_chunks_met_before_and_new_ones_in_arrow_columns(monkeypatch):
+    monkeypatch.setattr(packing, "LEARNT_AT_ONCE", 7)
+    monkeypatch.setattr(packing, "GATHERED_AT_ONCE", 5)
+    lib, own = Tokenizer.from_file(PATH), packing.ChunkTokenizer(PATH)
+    r = random.Random(3)
+    words = ["plain", "It's", "Œuvre", "中文", "ÀÉ", "<|endoftext|>", "x9.", "🙂", "ﬁn"]
+    for kind, limit in [(pa.string(), 600_000), (pa.large_string(), 600_000), (pa.string(), 3)]:
+        monkeypatch.setattr(packing, "CACHE_CHUNKS", limit)
+        for blank in [" ", "\u2003", "\x1d", " \n"]:
+            batch = [None, "", *(blank.join(f"{r.choice(words)}{r.choice(['', r.randint(0, 99)])}" for _ in range(20)) for _ in range(5))]
+            ids, counts = own.encode(pa.array(["gone", *batch], kind).slice(1))
+            want = [lib.encode(t or "", add_special_tokens=False).ids for t in batch]
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_chunks_take_few_bytes_in_a_worker():
+    own, n = packing.ChunkTokenizer(PATH), 100_000
+    once, often = [" ".join(f"w{i:x}" for i in range(n))], ["it " * (10 * n)]
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        own.encode(once)
+        assert (tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before) / n < 80
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        own.encode(often)
+        assert (tracemalloc.get_traced_memory()[1] - held) / (10 * n) < 48
+    finally:
+        tracemalloc.stop()
+
+
 def test_cuts():
     for n in [1, 2, 63, 64, 2049, 4095, 4096, 4097, 100_003, *range(3000, 3100)]:
         parts = packing.cut(n)
