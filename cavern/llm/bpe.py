@@ -1,7 +1,7 @@
 """Operator 1: byte-level BPE encoding and decoding by batched numpy merge rounds.
 
-The symbols of many words lie in one flat array. In a round, every pair of neighbours is looked up by binary
-search over the sorted pair keys, each word's lowest-rank pair is merged wherever it occurs (from the left,
+The symbols of many words lie in one flat array. In a round, every pair of neighbours is looked up in a hash
+table of the pair keys, each word's lowest-rank pair is merged wherever it occurs (from the left,
 without overlap), and words with nothing left to merge leave the array. Only words not met before by the worker
 are merged; a text is then a ragged gather over the stored ids.
 
@@ -35,6 +35,8 @@ OUTER = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 400_000
 NONE = np.iinfo(np.int64).max
+#: Mixes pair keys for their slots (2**64 over the golden ratio, odd).
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_symbols() -> list[str]:
@@ -60,8 +62,7 @@ class ByteBPE:
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(left * self.size + right, kind="stable")
-        self.keys, self.ranks, self.merged = (left * self.size + right)[order], order.astype(np.int64), merged[order]
+        self.index(left * self.size + right, merged)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pieces = [b""] * self.size
@@ -79,6 +80,30 @@ class ByteBPE:
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.offsets, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def index(self, keys: np.ndarray, merged: np.ndarray) -> None:
+        """Lays the merges, given in order of rank, out by the hash slots of their pair keys, some four slots for each."""
+        self.shift = np.uint64(64 - max(8, (3 * len(keys)).bit_length()))
+        slots = self.slots(keys)
+        order = np.argsort(slots, kind="stable")
+        counts = np.bincount(slots, minlength=1 << (64 - int(self.shift)))
+        self.first, self.shared = (np.cumsum(counts) - counts).astype(np.int32), counts > 1
+        self.longest = int(counts.max())
+        end = np.zeros(self.longest + 1, np.int64)  # walked into from the last slots; no key is -1
+        self.keys, self.ranks, self.merged = np.r_[keys[order], end - 1], np.r_[order, end], np.r_[merged[order], end]
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MIX) >> self.shift).astype(np.int64)
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """A place in self.keys for each of the keys: its own, or one that holds another key if it has none."""
+        slots = self.slots(keys)
+        at = self.first[slots]
+        left = np.flatnonzero(self.shared[slots] & (self.keys[at] != keys))
+        for _ in range(self.longest - 1):
+            at[left] += 1
+            left = left[self.keys[at[left]] != keys[left]]
+        return at
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and each word's number of them. Words are not empty."""
         raw, lengths = np.frombuffer(b"".join(words), np.uint8), [len(w) for w in words]
@@ -88,7 +113,7 @@ class ByteBPE:
         done_sym, done_word = [], []
         while len(sym):
             key = sym[:-1] * self.size + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            at = self.look_up(key)
             rank = np.full(len(sym), NONE)
             rank[:-1] = np.where((self.keys[at] == key) & (word[1:] == word[:-1]), self.ranks[at], NONE)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -45,3 +46,14 @@ def test_query_over_odd_rows(spark):
     assert bpe.encode(df, PATH).columns == ["doc_id", "text", "ids"]
     assert [r.decoded or "" for r in bpe.decode(bpe.encode(df, PATH), PATH).collect()] == [r[1] or "" for r in rows]
     assert bpe.round_trip_digests(df.limit(0), PATH).count() == 0
+
+
+def test_pairs_are_found_in_a_few_steps():
+    own, r = bpe.ByteBPE(PATH), np.random.default_rng(4)
+    assert own.longest <= 8
+    for keys in [own.keys[own.keys >= 0], np.arange(5), np.arange(0)]:
+        own.index(keys, keys + 1)
+        asked = np.r_[keys, r.integers(0, own.size**2, 20_000)]
+        at = own.look_up(asked)
+        assert ((own.keys[at] == asked) == np.isin(asked, keys)).all()
+        assert (own.merged[at[: len(keys)]] == keys + 1).all() and (own.ranks[at[: len(keys)]] == np.arange(len(keys))).all()
