@@ -107,7 +107,7 @@ def persistence_of(points: DataFrame, max_dim: int, distance: Distance | None =
     # Both sides of every comparison come from one precision.
     threshold = float(np.dtype(precision).type(threshold))
     if not max_dim:
-        return Persistence(pairs_of_dim0(points, spanning_forest(edges(points, threshold, distance, precision, thin=forest))), max_dim)
+        return Persistence(pairs_of_dim0(points, spanning_forest(edges(points, threshold, distance, precision))), max_dim)
     edge_table = checkpointed(edges(points, threshold, distance, precision))
     tree = spanning_forest(edge_table)
     found = pairs_of_dim0(points, tree)
