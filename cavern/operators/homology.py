@@ -13,6 +13,7 @@ from ..functions.distances import Distance, euclidean
 from ..plans.model import INFINITY, PAIRS, Persistence
 from ..plans.session import Shared, checkpointed
 from .filtration import edges, enclosing_radius, points_table, simplices
+from .nearest import joined, nearest_forest
 from .reduce import Filtration, columns_of, construct, reduce_matrix
 
 #: Edges that one task of the spanning forest takes.
@@ -42,14 +43,7 @@ def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen = np.flatnonzero(first < len(keep))
         at = np.searchsorted(edge, first[chosen])
         keep[first[chosen]] = True
-        up = np.arange(len(points))
-        x, y = component[u[at]], component[v[at]]
-        up[chosen] = np.where(x == chosen, y, x)
-        up[(up[up] == np.arange(len(points))) & (np.arange(len(points)) < up)] = -1  # one of two that chose the same edge
-        up = np.where(up < 0, np.arange(len(points)), up)
-        while (up[up] != up).any():
-            up = up[up]
-        component = up[component]
+        component = joined(component, chosen, component[u[at]], component[v[at]])
 
 
 def forest_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +101,7 @@ def persistence_of(points: DataFrame, max_dim: int, distance: Distance | None =
     # Both sides of every comparison come from one precision.
     threshold = float(np.dtype(precision).type(threshold))
     if not max_dim:
-        return Persistence(pairs_of_dim0(points, spanning_forest(edges(points, threshold, distance, precision))), max_dim)
+        return Persistence(pairs_of_dim0(*nearest_forest(points, threshold, distance, precision, spanning_forest)), max_dim)
     edge_table = checkpointed(edges(points, threshold, distance, precision))
     tree = spanning_forest(edge_table)
     found = pairs_of_dim0(points, tree)

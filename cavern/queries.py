@@ -16,6 +16,7 @@ from .operators import incidence as inc
 from .operators.cns import CombinatorialNumberSystem
 from .operators.homology import compute_persistent_homology, pairs_of_dim0, persistence_of, spanning_forest
 from .operators.image import finite_points, gaussian_image, persistence_image, resolve_bounds
+from .operators.nearest import nearest_forest
 from .plans.model import BoundsConfig, is_finite, is_infinite, persistence
 from .plans.session import passing_folder
 from .sources import clouds
@@ -152,8 +153,7 @@ def clearing_d1(spark, d):
 
 def h0_pairs(spark, d):
     """Over all vectors."""
-    points = vector_points(spark, d)
-    return pairs_of_dim0(points, spanning_forest(fl.edges(points, None, DISTANCE, "float64")))
+    return pairs_of_dim0(*nearest_forest(vector_points(spark, d), None, DISTANCE, "float64", spanning_forest))
 
 
 def _pairs(spark, d, max_dim, threshold=None):

@@ -3,6 +3,8 @@ import pytest
 
 from cavern.functions.distances import euclidean, manhattan, rounded
 from cavern.operators import filtration as fl
+from cavern.operators import nearest
+from cavern.operators.homology import spanning_forest
 
 
 def cloud(spark, x, kind="double"):
@@ -48,3 +50,31 @@ def test_edges_by_chunks(spark, monkeypatch, limit):
     w = d.block(x, x)
     want = [(a, b, w[a, b]) for a in range(len(x)) for b in range(a) if limit is None or w[a, b] <= limit]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def plain_forest(w, limit):
+    """Lengths of a spanning forest's edges, by Kruskal."""
+    top, out = list(range(len(w))), []
+    for x, a, b in sorted((w[a, b], a, b) for a in range(len(w)) for b in range(a) if w[a, b] <= limit):
+        if top[a] != top[b]:
+            out.append(x)
+            top = [top[a] if t == top[b] else t for t in top]
+    return out
+
+
+@pytest.mark.parametrize("listed", [1, 8])
+@pytest.mark.parametrize("kind,limit", [("float64", None), ("float64", 2.0), ("float32", None), ("manhattan", None)])
+def test_forest_of_nearest_neighbours(spark, monkeypatch, listed, kind, limit):
+    """Three clusters with more points, and more ties and copies, than a list holds: their links must be asked for. The
+    edge table isn't made."""
+    monkeypatch.setattr(nearest, "NEIGHBOURS", listed)
+    monkeypatch.setattr(fl, "CHUNK_BYTES", 6 * 8 * 40)
+    monkeypatch.setattr(fl, "edges", None)
+    x = np.concatenate([odd_points(60), 30 + 0.1 * odd_points(60), np.round(2 * odd_points(60)) / 2 - 40])
+    precision = "float32" if kind == "float32" else "float64"
+    x = x.astype(precision)
+    d = {"float64": rounded(euclidean("float64"), 6), "float32": euclidean(), "manhattan": rounded(manhattan(), 6)}[kind]
+    points, tree = nearest.nearest_forest(cloud(spark, x), limit, d, precision, spanning_forest, 16)
+    same = np.unique(x, axis=0)
+    want = plain_forest(d.block(same, same), np.inf if limit is None else limit)
+    assert points.count() == len(same) and sorted(r.w for r in tree.collect()) == sorted(map(float, want))
