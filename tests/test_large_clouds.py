@@ -97,3 +97,16 @@ def test_radius_by_chunks(spark, monkeypatch, kind):
         got = fl.enclosing_radius(cloud(spark, own), counting, precision, 16)
         assert got == float(d.block(own, own).max(axis=1).min())
         assert kind == "manhattan" or len(own) < 100 or 0 < calls.value < len(own) ** 2 / 10
+
+
+def test_threshold_takes_no_block(spark):
+    """Pairs beyond the threshold cost a matrix product, not their distance."""
+    calls = spark.sparkContext.accumulator(0)
+    d = rounded(euclidean("float64"), 6)
+    counting = dataclasses.replace(d, block=lambda x, y: (calls.add(len(x) * len(y)), d.block(x, y))[1], pairs=lambda x, y: (calls.add(len(x)), d.pairs(x, y))[1])
+    x = np.random.default_rng(5).normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = d.block(x, x)
+    got = fl.edges(cloud(spark, x), 1.25, counting, "float64", 64)
+    assert sorted(map(tuple, got.collect())) == [(a, b, w[a, b]) for a in range(300) for b in range(a) if w[a, b] <= 1.25]
+    assert calls.value < 320  # the points themselves, and what may round either way
