@@ -110,3 +110,14 @@ def test_threshold_takes_no_block(spark):
     got = fl.edges(cloud(spark, x), 1.25, counting, "float64", 64)
     assert sorted(map(tuple, got.collect())) == [(a, b, w[a, b]) for a in range(300) for b in range(a) if w[a, b] <= 1.25]
     assert calls.value < 320  # the points themselves, and what may round either way
+
+
+def test_float32_edges_without_shuffle(spark, monkeypatch):
+    """Blocks of 8 points sent each point 24 times before; now it is in one part, whatever the number of blocks."""
+    monkeypatch.setattr(fl, "CHUNK_BYTES", 6 * 4 * 70)
+    x = np.tile(odd_points(), (2, 1)).astype(np.float32) + 3
+    points = cloud(spark, x, "float")
+    got = fl.edges(points, 2.5, block_points=8)
+    assert not shuffled_points(got) and fl.dealt(points, 8).count() == len(x)
+    w = euclidean().block(x, x)
+    assert sorted(map(tuple, got.collect())) == [(a, b, w[a, b]) for a in range(len(x)) for b in range(a) if w[a, b] <= 2.5]
